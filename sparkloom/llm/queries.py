@@ -23,7 +23,54 @@ def op9_exact_dedup(spark, sf_dir):
     return exact_dedup(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op5_simhash, op9_exact_dedup)}
+def op1_chat(spark, sf_dir):
+    from .chat import chat_format, chat_read
+
+    both = "<|im_end|><|im_start|>assistant ok"
+    extra = spark.createDataFrame(
+        [(-1, 0, "user", both), (-1, 1, "assistant", both)], "conv_id long, turn long, role string, text string"
+    )
+    rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    back = chat_read(chat_format(rows))
+    said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return back.select(
+        "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"),
+        F.length("loss_text").cast("long").alias("loss_chars"), F.sha2("loss_text", 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
+def op6_quality(spark, sf_dir):
+    from .quality import quality_scores
+
+    bucket = F.pmod(F.crc32(F.col("id").cast("string")), F.lit(5))
+    got = quality_scores(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), bucket != 0)
+    return got.select(
+        F.col("id").alias("doc_id"), (bucket == 0).alias("held_out"), "score",
+        (F.col("score") >= 0.3).cast("int").alias("predicted"),
+    )
+
+
+def op8_packing(spark, sf_dir):
+    from .packing import pack
+
+    return pack(read(spark, sf_dir, "documents")).select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
+    )
+
+
+def op10_bpe(spark, sf_dir):
+    from .bpe import bpe_roundtrip
+    from .tokens import word_path
+
+    got = bpe_roundtrip(read(spark, sf_dir, "documents"), word_path())
+    return got.select(
+        F.col("id").alias("doc_id"), (F.length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+QUERIES = {f.__name__: f for f in (op1_chat, op5_simhash, op6_quality, op8_packing, op9_exact_dedup, op10_bpe)}
 
 ORACLE_SQL = {
     "op9_exact_dedup": r"""
