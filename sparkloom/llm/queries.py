@@ -7,6 +7,19 @@ from pyspark.sql import functions as F
 from .common import read
 
 
+def op2_secrets(spark, sf_dir):
+    from .secrets import KINDS, secret_spans
+    from .spans import joined
+
+    def n(kind):
+        return F.size(F.filter("base", lambda x: x["kind"] == kind)).cast("long")
+
+    return secret_spans(read(spark, sf_dir, "documents")).select(
+        F.col("id").alias("doc_id"), n(0).alias("n_assign"), n(1).alias("n_access"), n(2).alias("n_hex"),
+        F.sha2(joined(F.col("base"), KINDS), 256).alias("base_sha256"), joined(F.col("spans"), KINDS).alias("spans"),
+    )
+
+
 def op5_simhash(spark, sf_dir):
     from .simhash import simhash_groups
 
@@ -70,7 +83,7 @@ def op10_bpe(spark, sf_dir):
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_chat, op5_simhash, op6_quality, op8_packing, op9_exact_dedup, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op1_chat, op2_secrets, op5_simhash, op6_quality, op8_packing, op9_exact_dedup, op10_bpe)}
 
 ORACLE_SQL = {
     "op9_exact_dedup": r"""
