@@ -20,6 +20,24 @@ def op2_secrets(spark, sf_dir):
     )
 
 
+def op3_pii(spark, sf_dir):
+    from .pii import KINDS, pii_spans
+    from .spans import joined
+
+    def n(kind):
+        return F.size(F.filter("base", lambda x: x["kind"] == kind)).cast("long")
+
+    def by_kind(spans):
+        """kind:start:end by kind and then start."""
+        turned = F.array_sort(F.transform(spans, lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"))))
+        return joined(turned, KINDS)
+
+    return pii_spans(read(spark, sf_dir, "documents")).select(
+        F.col("id").alias("doc_id"), n(0).alias("n_email"), n(1).alias("n_ip"), n(2).alias("n_card"), n(3).alias("n_phone"),
+        F.sha2(by_kind("base"), 256).alias("base_sha256"), by_kind("spans").alias("spans"),
+    )
+
+
 def op5_simhash(spark, sf_dir):
     from .simhash import simhash_groups
 
@@ -83,7 +101,7 @@ def op10_bpe(spark, sf_dir):
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_chat, op2_secrets, op5_simhash, op6_quality, op8_packing, op9_exact_dedup, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op1_chat, op2_secrets, op3_pii, op5_simhash, op6_quality, op8_packing, op9_exact_dedup, op10_bpe)}
 
 ORACLE_SQL = {
     "op9_exact_dedup": r"""
