@@ -38,6 +38,16 @@ def op3_pii(spark, sf_dir):
     )
 
 
+def op4_pivots(spark, sf_dir):
+    from .pivots import embedding_groups
+
+    found = embedding_groups(read(spark, sf_dir, "embeddings"))
+    return found.select(
+        F.col("id").alias("vec_id"), "n_links", F.col("component").alias("component_id"),
+        F.col("id").eqNullSafe(F.col("component")).alias("kept"),
+    )
+
+
 def op5_simhash(spark, sf_dir):
     from .simhash import simhash_groups
 
@@ -101,7 +111,7 @@ def op10_bpe(spark, sf_dir):
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_chat, op2_secrets, op3_pii, op5_simhash, op6_quality, op8_packing, op9_exact_dedup, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op1_chat, op2_secrets, op3_pii, op4_pivots, op5_simhash, op6_quality, op8_packing, op9_exact_dedup, op10_bpe)}
 
 ORACLE_SQL = {
     "op9_exact_dedup": r"""
