@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage, text_or_empty
+from .common import text_or_empty
 
 #: Byte classes whose shares are features.
 CLASSES = (
@@ -123,49 +123,64 @@ def posterior(model: dict, x: np.ndarray) -> np.ndarray:
     return _sigmoid(np.tanh(z @ w[0] + w[1]) @ w[2] + w[3])
 
 
-def _features(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def fit_quality(docs: DataFrame, labels: DataFrame, trusted, id_col: str = "doc_id", text_col: str = "text",
+                label_col: str = "quality", sample: int = 12_000, prior: float | None = None) -> dict:
+    """The fitted model. Trusted positives are documents with label 1 in ``labels``
+    for which the column ``trusted`` (over ``id``) holds; unlabelled text is
+    every document without a row in ``labels``, or all documents if fewer than
+    1,000 are without. Up to ``sample`` documents of each kind are used, those
+    with the smallest hash of their id; only their features reach the driver.
+
+    Rows with a null id never train. Repeated labels of an id count once, as
+    positive only if all say 1. Without enough rows of both kinds, every score
+    is ``prior``, or 0.5.
+    """
+    ids = docs.select(docs[id_col].cast("long").alias("id")).where("id is not null").distinct()
+    known = labels.groupBy(labels[id_col].cast("long").alias("id")).agg(F.min(labels[label_col]).alias("y"))
+    narrow = docs.select(docs[id_col].cast("long").alias("id"), text_or_empty(docs, text_col).alias("t"))
+
     def run(batches):
         for batch in batches:
-            x = [features(t) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x, pa.list_(pa.float32()))], names=["id", "x"])
+            x = [features(t) for t in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float32()))], names=["x"])
 
-    narrow = docs.select(docs[id_col].cast("long").alias("id"), text_or_empty(docs, text_col).alias("t"))
-    return narrow.mapInArrow(run, "id long, x array<float>")
+    def drawn(rows: DataFrame) -> np.ndarray:
+        few = rows.select("id", F.xxhash64("id", F.lit(11)).alias("o")).orderBy("o", "id").limit(sample).select("id")
+        texts = narrow.join(F.broadcast(few), "id").select("t")  # ``sample`` ids at most
+        got = texts.mapInArrow(run, "x array<float>").limit(2 * sample).toPandas()["x"]
+        return np.array(got.tolist(), np.float64).reshape(len(got), len(NAMES))
 
+    positive = drawn(ids.join(known.where("y = 1").where(trusted), "id", "left_semi"))
+    unlabelled = drawn(ids.join(known, "id", "left_anti"))
+    return fit_pu(positive, unlabelled if len(unlabelled) >= 1000 else drawn(ids), prior)
 
-def quality_scores(docs: DataFrame, labels: DataFrame, trusted, id_col: str = "doc_id", text_col: str = "text",
-                   label_col: str = "quality", sample: int = 12_000, prior: float | None = None) -> DataFrame:
-    """(id, score) per row of ``docs``, 0 to 1.
 
-    Trusted positives are rows of ``labels`` with label 1 for which the column
-    ``trusted`` (over ``id``) holds; unlabelled text is every document without
-    a row in ``labels``, or all documents if fewer than 1,000 are without. The
-    model is fitted on up to ``sample`` rows of each kind, those with the
-    smallest hash of their id; features and scores cover all rows and whole
-    texts. Ids, labels and other columns are no inputs of a score.
+def _scores(model: dict, texts: list[str]) -> np.ndarray:
+    x = np.array([features(t) for t in texts], np.float64).reshape(len(texts), len(NAMES))
+    return posterior(model, x)
 
-    Null text counts as empty and gets the model's score for the empty text.
-    Rows with a null id are scored but never train. Repeated labels of an id
-    count once, as positive only if all say 1. No rows give no rows; without
-    enough rows to train, every score is ``prior``, or 0.5.
-    """
-    x = stage(_features(docs, id_col, text_col), "features")
-    known = labels.groupBy(labels[id_col].cast("long").alias("id")).agg(F.min(labels[label_col]).alias("y"))
 
-    def drawn(rows: DataFrame) -> np.ndarray:
-        order = F.xxhash64("id", F.lit(11))
-        got = rows.select("id", "x", order.alias("o")).orderBy("o", "id").limit(sample).select("x").toPandas()["x"]
-        return np.array(got.tolist(), np.float64).reshape(len(got), len(NAMES))
+def quality_scores(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, score) per row of ``docs``, 0 to 1, from the whole text alone. Null
+    text counts as empty and gets the model's score for the empty text; other
+    columns are ignored; no rows give no rows."""
+
+    def run(batches):
+        for batch in batches:
+            got = _scores(model, batch.column(1).to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got, pa.float64())], names=["id", "score"])
+
+    narrow = docs.select(docs[id_col].cast("long").alias("id"), text_or_empty(docs, text_col).alias("t"))
+    return narrow.mapInArrow(run, "id long, score double")
+
 
-    positive = drawn(x.join(known.where("y = 1").where(trusted), "id", "left_semi"))
-    unlabelled = drawn(x.where("id is not null").join(known, "id", "left_anti"))
-    if len(unlabelled) < 1000:
-        unlabelled = drawn(x)
-    model = fit_pu(positive, unlabelled, prior)
+def quality_filter(docs: DataFrame, model: dict, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` with a score of ``threshold`` or more, unchanged."""
+    at = docs.columns.index(text_col)
 
     def run(batches):
         for batch in batches:
-            got = np.array(batch.column(1).to_pylist(), np.float64).reshape(batch.num_rows, len(NAMES))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(posterior(model, got), pa.float64())], names=["id", "score"])
+            texts = [t or "" for t in batch.column(at).to_pylist()]
+            yield batch.filter(pa.array(_scores(model, texts) >= threshold, pa.bool_()))
 
-    return x.mapInArrow(run, "id long, score double")
+    return docs.mapInArrow(run, docs.schema)

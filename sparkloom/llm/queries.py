@@ -81,17 +81,36 @@ def op1_chat(spark, sf_dir):
     )
 
 
+def trusted_labels():
+    """Rows that labels may be learnt from, by the id alone."""
+    return F.pmod(F.crc32(F.col("id").cast("string")), F.lit(5)) != 0
+
+
 def op6_quality(spark, sf_dir):
-    from .quality import quality_scores
+    from .quality import fit_quality, quality_scores
 
-    bucket = F.pmod(F.crc32(F.col("id").cast("string")), F.lit(5))
-    got = quality_scores(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), bucket != 0)
-    return got.select(
-        F.col("id").alias("doc_id"), (bucket == 0).alias("held_out"), "score",
+    docs = read(spark, sf_dir, "documents")
+    model = fit_quality(docs, read(spark, sf_dir, "labels"), trusted_labels())
+    return quality_scores(docs, model).select(
+        F.col("id").alias("doc_id"), (~trusted_labels()).alias("held_out"), "score",
         (F.col("score") >= 0.3).cast("int").alias("predicted"),
     )
 
 
+def op7_lines(spark, sf_dir):
+    from .common import text_or_empty
+    from .line_dedup import kept_lines
+
+    docs = read(spark, sf_dir, "documents")
+    worded = F.filter(F.split(text_or_empty(docs), "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+    rows = docs.select("doc_id", F.size(worded).cast("long").alias("n_lines"))
+    n = F.coalesce(F.size("kept"), F.lit(0)).cast("long")
+    return rows.join(kept_lines(docs).withColumnRenamed("id", "doc_id"), "doc_id", "left").select(
+        "doc_id", "n_lines", n.alias("n_kept"), (F.col("n_lines") - n).alias("n_removed"),
+        F.coalesce(F.array_join(F.transform("kept", lambda k: k.cast("string")), ","), F.lit("")).alias("kept_lines"),
+    )
+
+
 def op8_packing(spark, sf_dir):
     from .packing import pack
 
@@ -111,7 +130,7 @@ def op10_bpe(spark, sf_dir):
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_chat, op2_secrets, op3_pii, op4_pivots, op5_simhash, op6_quality, op8_packing, op9_exact_dedup, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op1_chat, op2_secrets, op3_pii, op4_pivots, op5_simhash, op6_quality, op7_lines, op8_packing, op9_exact_dedup, op10_bpe)}
 
 ORACLE_SQL = {
     "op9_exact_dedup": r"""
