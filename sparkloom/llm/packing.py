@@ -60,6 +60,7 @@ def _tokenised(docs: DataFrame, path: str, id_col: str, text_col: str, end_id: i
 
     def run(batches):
         model = tokens.load(path)
+        kind = "<u2" if max(model.n_vocab, end_id) <= 1 << 16 else "<u4"
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
@@ -67,7 +68,7 @@ def _tokenised(docs: DataFrame, path: str, id_col: str, text_col: str, end_id: i
                 key = hilbert_key(np.stack([document_cell(x, directions) for x in ids]))
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array(key), pa.array([len(x) for x in ids], pa.int64()),
-                     pa.array([x.astype("<u4").tobytes() for x in ids], pa.binary())],
+                     pa.array([x.astype(kind).tobytes() for x in ids], pa.binary())],
                     names=["id", "key", "n", "ids"],
                 )
 
@@ -105,6 +106,7 @@ def pack(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_
             rows = []
             for doc, n, ids in zip(*(batch.column(k).to_pylist() for k in (0, 1, 2)), strict=True):
                 start = 0
+                ids = np.frombuffer(ids, f"<u{len(ids) // n}").astype("<u4").tobytes()
                 while start < n:
                     if at == length:
                         at, sequence = 0, sequence + 1
