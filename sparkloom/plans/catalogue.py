@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import relational
+from . import metrics, relational
 
-MODULES = (relational,)
+MODULES = (relational, metrics)
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLE_SQL = {name: sql for m in MODULES for name, sql in m.ORACLE_SQL.items()}
