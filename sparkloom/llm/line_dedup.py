@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from .common import stage, text_or_empty
 
-SPACE = r"[\x20\x09-\x0D]+"
+#: White space within a line besides the blank.
+ODD = "\t\x0b\x0c\r"
 #: Least Jaccard similarity, as a fraction.
 NUM, DEN = 4, 5
 BUCKETS = 1 << 16
@@ -17,28 +18,41 @@ BROADCAST_LINES = 1_000_000
 NO_ID = -(2**63)
 
 
+def _blanks(text: Column) -> Column:
+    """Text with every white space of a line as a blank, so that lines part at a
+    plain character."""
+    odd = F.lit(False)
+    for c in ODD:
+        odd = odd | F.contains(text, F.lit(c))
+    return F.when(odd, F.translate(text, ODD, " " * len(ODD))).otherwise(text)
+
+
 def words_of(line: Column) -> Column:
-    return F.filter(F.split(line, SPACE), lambda w: w != "")
+    return F.array_remove(F.split(line, " "), "")
+
+
+def _shingles(words: Column, width: int, hashed) -> Column:
+    """``hashed`` of the words of each run of ``width`` words; of all words where
+    they are fewer. Words past the end are null, which the hash passes over."""
+    starts = F.slice(words, F.lit(1), F.greatest(F.lit(1), F.size(words) - width + 1))
+    return F.transform(starts, lambda w, k: hashed(w, [w, *(F.get(words, k + i) for i in range(1, width))]))
 
 
 def shingle_hashes(words: Column, width: int) -> Column:
-    """64-bit hash of each run of ``width`` words; of all words where they are fewer."""
-    last = F.greatest(F.lit(1), F.size(words) - width + 1)
-    return F.transform(F.sequence(F.lit(1), last), lambda k: F.xxhash64(F.slice(words, k, F.lit(width))))
+    return _shingles(words, width, lambda _, run: F.xxhash64(*run))
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, no, words) of every line that has words."""
     ident = F.coalesce(docs[id_col].cast("long"), F.lit(NO_ID))
-    rows = docs.select(ident.alias("id"), F.posexplode(F.split(text_or_empty(docs, text_col), "\n", -1)).alias("no", "line"))
+    rows = docs.select(ident.alias("id"), F.posexplode(F.split(_blanks(text_or_empty(docs, text_col)), "\n", -1)).alias("no", "line"))
     return rows.select("id", "no", words_of(F.col("line")).alias("words")).where(F.size("words") > 0)
 
 
-def _ranks(lines: DataFrame, width: int) -> DataFrame:
-    """One row: for each bucket of token hashes, the binary logarithm of how many
-    tokens of all lines fall there. The table has a fixed size, whatever is counted."""
-    buckets = lines.select(F.explode(F.transform(shingle_hashes(F.col("words"), width), lambda h: F.pmod(h, F.lit(BUCKETS)))).alias("b"))
-    counts = buckets.groupBy("b").agg(F.count("*").alias("n"))
+def _ranks(lines: DataFrame) -> DataFrame:
+    """One row: for each bucket of word hashes, the binary logarithm of how many
+    words of all lines fall there. The table has a fixed size, whatever is counted."""
+    counts = lines.select(F.explode("words").alias("w")).groupBy(F.pmod(F.xxhash64("w"), F.lit(BUCKETS)).alias("b")).agg(F.count("*").alias("n"))
     every = lines.sparkSession.range(0, BUCKETS, numPartitions=1).toDF("b").join(F.broadcast(counts), "b", "left")
     rank = F.floor(F.log2(F.coalesce("n", F.lit(0)) + 1)).cast("tinyint")
     ordered = F.array_sort(F.collect_list(F.struct(F.col("b"), rank.alias("r"))))
@@ -46,10 +60,15 @@ def _ranks(lines: DataFrame, width: int) -> DataFrame:
 
 
 def _tokens(words: Column, width: int, ranks: Column) -> Column:
-    """Distinct tokens in the order of rarity: rank above, hash below."""
+    """Distinct tokens in the order of rarity: rank of the first word above, hash
+    of the run below. No token is more frequent than its first word."""
     mask = (1 << HASH_BITS) - 1
-    token = lambda h: F.shiftleft(F.get(ranks, F.pmod(h, F.lit(BUCKETS)).cast("int")).cast("long"), HASH_BITS).bitwiseOR(h.bitwiseAND(F.lit(mask)))
-    return F.sort_array(F.array_distinct(F.transform(shingle_hashes(words, width), token)))
+
+    def token(w: Column, run: list[Column]) -> Column:
+        rank = F.get(ranks, F.pmod(F.xxhash64(w), F.lit(BUCKETS)).cast("int")).cast("long")
+        return F.shiftleft(rank, HASH_BITS).bitwiseOR(F.xxhash64(*run).bitwiseAND(F.lit(mask)))
+
+    return F.sort_array(F.array_distinct(_shingles(words, width, token)))
 
 
 def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -71,7 +90,7 @@ def kept_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     that stay, from 0 and in order. Lines without words are not counted.
 
     A line's tokens are its distinct runs of ``width`` words, or all its words
-    where they are fewer. A line goes if an earlier line, by id and line number,
+    where they are fewer; a token counts as rare as its first word. A line goes if an earlier line, by id and line number,
     has a Jaccard similarity of NUM/DEN or more to it, whether that one stays
     or not. Lines with the same words are one class, which its first line stands
     for. Of n tokens in the order of rarity, n - ceil(s*n) + 1 are posted: two
@@ -87,7 +106,7 @@ def kept_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     empty; other columns are ignored; no rows give no rows.
     """
     lines = _lines(docs, id_col, text_col)
-    ranks = stage(_ranks(lines, width), "ranks").scalar()
+    ranks = stage(_ranks(lines), "ranks").scalar()
     # a column of its own as subqueries may not stand in a lambda; the optimizer puts it back as a constant
     set_ = lines.withColumn("ranks", ranks).select("id", "no", F.xxhash64("words").alias("c1"), F.hash("words").alias("c2"),
                         _tokens(F.col("words"), width, F.col("ranks")).alias("tokens"))
@@ -116,7 +135,7 @@ def kept_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     lines_in = shared.select("line").distinct().groupBy("line.id").agg(F.collect_list("line.no").alias("nos"))
     lines_in = stage(lines_in, "wanted")
     entries = lines_in.agg(F.sum(F.size("nos"))).first()[0] or 0
-    split = docs.select(F.coalesce(docs[id_col].cast("long"), F.lit(NO_ID)).alias("id"), F.split(text_or_empty(docs, text_col), "\n", -1).alias("all"))
+    split = docs.select(F.coalesce(docs[id_col].cast("long"), F.lit(NO_ID)).alias("id"), F.split(_blanks(text_or_empty(docs, text_col)), "\n", -1).alias("all"))
     wanted = _by_id(lines_in, split, entries).select("id", F.explode("nos").alias("no"), "all").select("id", "no", F.get("all", F.col("no")).alias("l"))
     sets = wanted.select(F.struct("id", "no").alias("line"), words_of(F.col("l")).alias("words")).where(F.size("words") > 0)
     sets = sets.select("line", F.array_distinct(shingle_hashes(F.col("words"), width)).alias("tokens"))
