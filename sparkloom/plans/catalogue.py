@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import metrics, relational
+from . import metrics, relational, scalar, similarity, streams
 
-MODULES = (relational, metrics)
+MODULES = (relational, metrics, scalar, similarity, streams)
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLE_SQL = {name: sql for m in MODULES for name, sql in m.ORACLE_SQL.items()}
