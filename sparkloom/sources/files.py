@@ -70,7 +70,7 @@ def decode_numeric_entities(c: Column) -> Column:
     """Decimal character references as their characters."""
     parts = F.split(c, r"&#(?=[0-9]+;)")
     rest = F.transform(F.slice(parts, 2, F.greatest(F.lit(0), F.size(parts) - 1)), lambda p: F.concat(
-        F.decode(F.unhex(F.lpad(F.hex(F.regexp_extract(p, "^([0-9]+);", 1).cast("long")), 8, "0")), "UTF-32BE"), F.regexp_replace(p, "^[0-9]+;", "")
+        F.decode(F.unhex(F.lpad(F.hex(F.regexp_extract(p, "^([0-9]+);", 1).cast("long")), 8, "0")), "UTF-32"), F.regexp_replace(p, "^[0-9]+;", "")
     ))
     return F.concat(F.get(parts, 0), F.array_join(rest, ""))
 
