@@ -94,6 +94,8 @@ def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
     thresholds, of unlabelled to positive rows above it. Negatives only add to
     the numerator, so the ratio comes down to the prior where few are left; a
     margin for chance keeps thresholds with few rows out."""
+    rng = np.random.default_rng(3)
+    positive, unlabelled = rng.permutation(positive), rng.permutation(unlabelled)  # halves alike whatever the order
     half_p, half_u = len(positive) // 2, len(unlabelled) // 2
     model = _fit(positive[:half_p], unlabelled[:half_u], None)
     sp, su = (np.sort(posterior(model, x)) for x in (positive[half_p:], unlabelled[half_u:]))
