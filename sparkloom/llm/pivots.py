@@ -97,7 +97,7 @@ def embedding_groups(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     rows = rows.withColumn("sound", F.coalesce(sound, F.lit(False)))
     nodes = rows.where("sound").groupBy("v").agg(F.min("id").alias("low"), F.count("*").alias("weight"))
     nodes = stage(nodes.withColumn("key", F.xxhash64("v")), "vectors")
-    lengths = [r[0] for r in nodes.groupBy(F.size("v").alias("n")).count().orderBy("n").limit(64).collect()]
+    lengths = sorted(r[0] for r in nodes.select(F.size("v")).distinct().collect())  # one entry for each number of dimensions
     links, counts = None, None
     for dims in lengths:
         part = nodes.where(F.size("v") == dims)

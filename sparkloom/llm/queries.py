@@ -99,13 +99,13 @@ def op6_quality(spark, sf_dir):
 
 def op7_lines(spark, sf_dir):
     from .common import text_or_empty
-    from .line_dedup import kept_lines
+    from .line_dedup import NO_ID, kept_lines
 
     docs = read(spark, sf_dir, "documents")
     worded = F.filter(F.split(text_or_empty(docs), "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     rows = docs.select("doc_id", F.size(worded).cast("long").alias("n_lines"))
     n = F.coalesce(F.size("kept"), F.lit(0)).cast("long")
-    return rows.join(kept_lines(docs).withColumnRenamed("id", "doc_id"), "doc_id", "left").select(
+    return rows.join(kept_lines(docs), F.coalesce("doc_id", F.lit(NO_ID)) == F.col("id"), "left").select(
         "doc_id", "n_lines", n.alias("n_kept"), (F.col("n_lines") - n).alias("n_removed"),
         F.coalesce(F.array_join(F.transform("kept", lambda k: k.cast("string")), ","), F.lit("")).alias("kept_lines"),
     )
