@@ -89,11 +89,16 @@ def _fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None, hidd
     return {"mean": mean, "scale": scale, "w": average}
 
 
-def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
+def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray, share: float | None = None) -> float:
     """Share of positives among unlabelled rows: the least ratio, over all score
     thresholds, of unlabelled to positive rows above it. Negatives only add to
     the numerator, so the ratio comes down to the prior where few are left; a
-    margin for chance keeps thresholds with few rows out."""
+    margin for chance keeps thresholds with few rows out.
+
+    The ratio errs upwards, the more the fewer rows there are. ``share``, that
+    of positives among labelled rows, replaces it if it lies below by no more
+    than the margin; labels drawn unlike the text lie further off.
+    """
     rng = np.random.default_rng(3)
     positive, unlabelled = rng.permutation(positive), rng.permutation(unlabelled)  # halves alike whatever the order
     half_p, half_u = len(positive) // 2, len(unlabelled) // 2
@@ -104,16 +109,19 @@ def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
     over_u = 1 - np.searchsorted(su, cuts) / len(su)
     margin = np.sqrt(np.log(40) / 2) * (1 / np.sqrt(len(sp)) + 1 / np.sqrt(len(su)))
     best = np.argmin((over_u + margin) / over_p)
-    return float(np.clip(over_u[best] / over_p[best], 0.02, 0.98))
+    ratio = over_u[best] / over_p[best]
+    if share is not None and ratio - margin <= share < ratio:
+        ratio = share
+    return float(np.clip(ratio, 0.02, 0.98))
 
 
-def fit_pu(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None = None) -> dict:
+def fit_pu(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None = None, share: float | None = None) -> dict:
     """The model that minimises the non-negative unbiased risk; the class prior
     is estimated where none is given. Without rows of both kinds, every score is
     the prior, or 0.5."""
     if len(positive) < 20 or len(unlabelled) < 20:
         return {"constant": 0.5 if prior is None else prior}
-    prior = estimate_prior(positive, unlabelled) if prior is None else prior
+    prior = estimate_prior(positive, unlabelled, share) if prior is None else prior
     return _fit(positive, unlabelled, prior) | {"prior": prior}
 
 
@@ -152,9 +160,10 @@ def fit_quality(docs: DataFrame, labels: DataFrame, trusted, id_col: str = "doc_
         got = texts.mapInArrow(run, "x array<float>").limit(2 * sample).toPandas()["x"]
         return np.array(got.tolist(), np.float64).reshape(len(got), len(NAMES))
 
+    share = known.where(trusted).agg(F.avg((F.col("y") == 1).cast("double"))).first()[0]
     positive = drawn(ids.join(known.where("y = 1").where(trusted), "id", "left_semi"))
     unlabelled = drawn(ids.join(known, "id", "left_anti"))
-    return fit_pu(positive, unlabelled if len(unlabelled) >= 1000 else drawn(ids), prior)
+    return fit_pu(positive, unlabelled if len(unlabelled) >= 1000 else drawn(ids), prior, share)
 
 
 def _scores(model: dict, texts: list[str]) -> np.ndarray:
