@@ -12,6 +12,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from ..sources.ship import ship
 from .common import text_or_empty
 
 END = "Ā"  # stands for the end of a word; bytes are the characters below it
@@ -227,5 +228,6 @@ def bpe_roundtrip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
                     names=["id", "ids", "decoded"],
                 )
 
+    ship(docs.sparkSession)
     narrow = docs.select(docs[id_col].cast("long").alias("id"), text_or_empty(docs, text_col).alias("t"))
     return narrow.mapInArrow(run, "id long, ids binary, decoded binary")

@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.ship import ship
 from . import tokens
 
 START, SEP, END = "<|im_start|>", "<|im_sep|>", "<|im_end|>"
@@ -84,6 +85,7 @@ def chat_format(conversations: DataFrame, path: str | None = None) -> DataFrame:
     conversation is one row of the result, and its turns meet in the task that
     makes that row; conversations are spread by conv_id.
     """
+    ship(conversations.sparkSession)
     path = path or tokens.default_path()
     rows = conversations.select(
         F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"),

@@ -8,6 +8,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.ship import ship
 from . import tokens
 from .common import stage, text_or_empty
 
@@ -94,6 +95,7 @@ def pack(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_
     rows and ids are packed each; rows with null ids are packed too; other
     columns are ignored; no rows give no rows.
     """
+    ship(docs.sparkSession)
     coded = stage(_tokenised(docs, path or tokens.default_path(), id_col, text_col, end_id), "tokens")
     total = coded.agg(F.sum("n")).first()[0] or 0
     ranges = max(1, -(-total // TOKENS_A_PARTITION))

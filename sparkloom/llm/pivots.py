@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.ship import ship
 from .common import stage
 from .components import connected_components
 from .simhash import _Groups
@@ -91,6 +92,7 @@ def embedding_groups(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     are ignored; no rows give no rows. Pairs that share too few pivots are
     missed; no pair below the threshold is linked.
     """
+    ship(vectors.sparkSession)
     v = F.col("v")
     rows = vectors.select(vectors[id_col].cast("long").alias("id"), vectors[vector_col].cast("array<double>").alias("v"))
     sound = (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & (F.abs(x) < F.lit(float("inf"))) & ~F.isnan(x)) & F.exists(v, lambda x: x != 0)

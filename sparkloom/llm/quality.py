@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.ship import ship
 from .common import text_or_empty
 
 #: Byte classes whose shares are features.
@@ -145,6 +146,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, trusted, id_col: str = "doc_
     positive only if all say 1. Without enough rows of both kinds, every score
     is ``prior``, or 0.5.
     """
+    ship(docs.sparkSession)
     ids = docs.select(docs[id_col].cast("long").alias("id")).where("id is not null").distinct()
     known = labels.groupBy(labels[id_col].cast("long").alias("id")).agg(F.min(labels[label_col]).alias("y"))
     narrow = docs.select(docs[id_col].cast("long").alias("id"), text_or_empty(docs, text_col).alias("t"))
@@ -181,12 +183,14 @@ def quality_scores(docs: DataFrame, model: dict, id_col: str = "doc_id", text_co
             got = _scores(model, batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got, pa.float64())], names=["id", "score"])
 
+    ship(docs.sparkSession)
     narrow = docs.select(docs[id_col].cast("long").alias("id"), text_or_empty(docs, text_col).alias("t"))
     return narrow.mapInArrow(run, "id long, score double")
 
 
 def quality_filter(docs: DataFrame, model: dict, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` with a score of ``threshold`` or more, unchanged."""
+    ship(docs.sparkSession)
     at = docs.columns.index(text_col)
 
     def run(batches):

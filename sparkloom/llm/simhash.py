@@ -9,6 +9,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.ship import ship
 from .common import stage, text_or_empty
 from .components import connected_components
 
@@ -51,6 +52,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 [batch.column(0), pa.array(found, pa.list_(pa.int64()))], names=["id", "fp"]
             )
 
+    ship(docs.sparkSession)
     narrow = docs.select(docs[id_col].cast("long").alias("id"), text_or_empty(docs, text_col).alias("t"))
     return narrow.mapInArrow(run, "id long, fp array<long>")
 
