@@ -11,7 +11,7 @@ from .common import stage, text_or_empty
 ODD = "\t\x0b\x0c\r"
 #: Least Jaccard similarity, as a fraction.
 NUM, DEN = 4, 5
-BUCKETS = 1 << 16
+BUCKET_BITS = 16
 HASH_BITS = 57
 #: Entries up to which a table of ids with line numbers is broadcast; a larger one is joined by shuffles.
 BROADCAST_LINES = 1_000_000
@@ -31,44 +31,66 @@ def words_of(line: Column) -> Column:
     return F.array_remove(F.split(line, " "), "")
 
 
-def _shingles(words: Column, width: int, hashed) -> Column:
-    """``hashed`` of the words of each run of ``width`` words; of all words where
-    they are fewer. Words past the end are null, which the hash passes over."""
-    starts = F.slice(words, F.lit(1), F.greatest(F.lit(1), F.size(words) - width + 1))
-    return F.transform(starts, lambda w, k: hashed(w, [w, *(F.get(words, k + i) for i in range(1, width))]))
+def with_shingles(rows: DataFrame, width: int) -> DataFrame:
+    """``rows`` with the column ``s``: from the word hashes in ``h``, a hash of each
+    run of ``width`` words, or of all words where they are fewer.
 
+    Runs of doubled length come from two neighbours of half the length, so a
+    word takes few steps. Past the end a run has null parts, which the hash
+    passes over; such runs are cut off, but for the first of a short line. Every
+    length is a column of its own, so that none is computed twice.
+    """
+    made, keep = {1: "h"}, rows.columns
+
+    def join_runs(rows: DataFrame, a: int, b: int) -> DataFrame:
+        longer = F.zip_with(made[a], F.slice(made[b], F.lit(a + 1), F.size(made[b])), lambda x, y: F.xxhash64(x, y))
+        made[a + b] = f"run{a + b}"
+        return rows.withColumn(made[a + b], longer)
 
-def shingle_hashes(words: Column, width: int) -> Column:
-    return _shingles(words, width, lambda _, run: F.xxhash64(*run))
+    size = 1
+    while 2 * size <= width:
+        rows, size = join_runs(rows, size, size), 2 * size
+    done = size
+    while done < width:
+        part = max(k for k in made if done + k <= width)
+        rows, done = join_runs(rows, done, part), done + part
+    whole = F.slice(made[width], F.lit(1), F.greatest(F.lit(1), F.size("h") - width + 1))
+    return rows.withColumn("s", whole).select(*keep, "s")
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, no, words) of every line that has words."""
+    """(id, no, line) of every line that has words."""
     ident = F.coalesce(docs[id_col].cast("long"), F.lit(NO_ID))
     rows = docs.select(ident.alias("id"), F.posexplode(F.split(_blanks(text_or_empty(docs, text_col)), "\n", -1)).alias("no", "line"))
-    return rows.select("id", "no", words_of(F.col("line")).alias("words")).where(F.size("words") > 0)
+    return rows.where(F.trim("line") != "")
+
+
+def _hashes(line: Column) -> Column:
+    return F.transform(words_of(line), lambda w: F.xxhash64(w))
+
+
+def _bucket(h: Column) -> Column:
+    return F.shiftrightunsigned(h, 64 - BUCKET_BITS).cast("int")
 
 
 def _ranks(lines: DataFrame) -> DataFrame:
     """One row: for each bucket of word hashes, the binary logarithm of how many
-    words of all lines fall there. The table has a fixed size, whatever is counted."""
-    counts = lines.select(F.explode("words").alias("w")).groupBy(F.pmod(F.xxhash64("w"), F.lit(BUCKETS)).alias("b")).agg(F.count("*").alias("n"))
-    every = lines.sparkSession.range(0, BUCKETS, numPartitions=1).toDF("b").join(F.broadcast(counts), "b", "left")
-    rank = F.floor(F.log2(F.coalesce("n", F.lit(0)) + 1)).cast("tinyint")
-    ordered = F.array_sort(F.collect_list(F.struct(F.col("b"), rank.alias("r"))))
-    return every.agg(F.transform(ordered, lambda x: x["r"]).alias("ranks"))
+    words of all lines fall there, in the place of a token's upper bits. The
+    table has a fixed size, whatever is counted."""
+    counts = lines.select(F.explode(words_of(F.col("line"))).alias("w")).groupBy(_bucket(F.xxhash64("w")).alias("b")).agg(F.count("*").alias("n"))
+    every = lines.sparkSession.range(0, 1 << BUCKET_BITS, numPartitions=1).select(F.col("id").cast("int").alias("b"))
+    rank = F.floor(F.log2(F.coalesce("n", F.lit(0)) + 1)).cast("long")
+    ordered = F.array_sort(F.collect_list(F.struct(F.col("b"), F.shiftleft(rank, HASH_BITS).alias("r"))))
+    return every.join(F.broadcast(counts), "b", "left").agg(F.transform(ordered, lambda x: x["r"]).alias("ranks"))
 
 
-def _tokens(words: Column, width: int, ranks: Column) -> Column:
+def _tokens(ranks: Column) -> Column:
     """Distinct tokens in the order of rarity: rank of the first word above, hash
     of the run below. No token is more frequent than its first word."""
-    mask = (1 << HASH_BITS) - 1
-
-    def token(w: Column, run: list[Column]) -> Column:
-        rank = F.get(ranks, F.pmod(F.xxhash64(w), F.lit(BUCKETS)).cast("int")).cast("long")
-        return F.shiftleft(rank, HASH_BITS).bitwiseOR(F.xxhash64(*run).bitwiseAND(F.lit(mask)))
-
-    return F.sort_array(F.array_distinct(_shingles(words, width, token)))
+    mask = F.lit((1 << HASH_BITS) - 1)
+    first = F.slice("h", F.lit(1), F.size("s"))
+    both = F.zip_with("s", first, lambda s, h: F.coalesce(F.get(ranks, _bucket(h)).bitwiseOR(s.bitwiseAND(mask)), F.lit(0)))
+    return F.sort_array(F.array_distinct(both))
 
 
 def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -108,8 +130,8 @@ def kept_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     lines = _lines(docs, id_col, text_col)
     ranks = stage(_ranks(lines), "ranks").scalar()
     # a column of its own as subqueries may not stand in a lambda; the optimizer puts it back as a constant
-    set_ = lines.withColumn("ranks", ranks).select("id", "no", F.xxhash64("words").alias("c1"), F.hash("words").alias("c2"),
-                        _tokens(F.col("words"), width, F.col("ranks")).alias("tokens"))
+    runs = with_shingles(lines.select("id", "no", _hashes(F.col("line")).alias("h")), width).withColumn("ranks", ranks)
+    set_ = runs.select("id", "no", F.xxhash64("h").alias("c1"), F.hash("h").alias("c2"), _tokens(F.col("ranks")).alias("tokens"))
     n = F.size("tokens")
     posted = F.slice("tokens", F.lit(1), (n - F.floor((NUM * n + DEN - 1) / DEN) + 1).cast("int"))
     classes = (
@@ -137,8 +159,8 @@ def kept_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     entries = lines_in.agg(F.sum(F.size("nos"))).first()[0] or 0
     split = docs.select(F.coalesce(docs[id_col].cast("long"), F.lit(NO_ID)).alias("id"), F.split(_blanks(text_or_empty(docs, text_col)), "\n", -1).alias("all"))
     wanted = _by_id(lines_in, split, entries).select("id", F.explode("nos").alias("no"), "all").select("id", "no", F.get("all", F.col("no")).alias("l"))
-    sets = wanted.select(F.struct("id", "no").alias("line"), words_of(F.col("l")).alias("words")).where(F.size("words") > 0)
-    sets = sets.select("line", F.array_distinct(shingle_hashes(F.col("words"), width)).alias("tokens"))
+    sets = wanted.where(F.trim("l") != "").select(F.struct("id", "no").alias("line"), _hashes(F.col("l")).alias("h"))
+    sets = with_shingles(sets, width).select("line", F.array_distinct("s").alias("tokens"))
     sets = stage(sets, "sets")
 
     first = shared.where(F.col("line") != F.col("lead.line")).where(possible(F.col("n"), F.col("i"), F.col("lead.n"), F.col("lead.i")))
@@ -164,10 +186,14 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ident = F.coalesce(docs[id_col].cast("long"), F.lit(NO_ID))
     rows = docs.join(F.broadcast(kept) if entries <= BROADCAST_LINES else kept, ident == F.col("_id"), "left")
     rows = rows.withColumn("_all", F.split(text_or_empty(docs, text_col), "\n", -1))
-    worded = F.filter(F.sequence(F.lit(0), F.size("_all") - 1), lambda k: F.get("_all", k).rlike(r"[^\x20\x09-\x0D]"))
-    rows = rows.withColumn("_worded", worded).withColumn("_kept", F.array_intersect(F.coalesce("_kept", F.array().cast("array<int>")), "_worded"))
+
+    def places(test) -> Column:  # names the lines once, as the optimizer may put the split in their place
+        return F.array_compact(F.transform("_all", lambda line, k: F.when(test(line), k)))
+
+    has_words = lambda line: line.rlike(r"[^\x20\x09-\x0D]")
+    rows = rows.withColumn("_worded", places(has_words)).withColumn("_kept", F.array_intersect(F.coalesce("_kept", F.array().cast("array<int>")), "_worded"))
     rows = rows.where((F.size("_worded") == 0) | (F.size("_kept") > 0))
-    blank = F.array_except(F.sequence(F.lit(0), F.size("_all") - 1), "_worded")
+    blank = places(lambda line: ~has_words(line))
     text = F.array_join(F.transform(F.array_sort(F.concat("_kept", blank)), lambda k: F.get("_all", k)), "\n")
     new = F.when(F.size("_kept") == F.size("_worded"), F.col(text_col)).otherwise(text)
     return rows.select(*(new.alias(c) if c == text_col else F.col(c) for c in docs.columns))

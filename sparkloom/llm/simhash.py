@@ -19,7 +19,8 @@ TILE = 256
 
 
 def fingerprint(text: str, width: int, words: int = 1) -> list[int]:
-    """SimHash of the ``width``-word shingles of ``text`` as signed 64-bit words."""
+    """SimHash of the ``width``-word shingles of ``text`` as one or two signed
+    64-bit words: by XXH64, or by XXH3 with 128 bits."""
     parts = text.encode("utf-8", "replace").lower().split()
     if not parts:
         return [0] * words
@@ -27,22 +28,19 @@ def fingerprint(text: str, width: int, words: int = 1) -> list[int]:
     ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     cut = list(zip(starts[: len(parts) - k + 1].tolist(), ends[k - 1 :].tolist(), strict=True))
-    out = []
-    for w in range(words):
-        digest, seed = xxhash.xxh64_intdigest, SEED + w
-        h = np.fromiter((digest(flat[s:e], seed) for s, e in cut), ">u8", len(cut))
-        ones = np.zeros(64, np.int64)
-        for at in range(0, len(h), 1 << 15):
-            bits = np.unpackbits(h[at : at + (1 << 15)].view(np.uint8).reshape(-1, 8), axis=1)
-            ones += bits.sum(axis=0, dtype=np.int64)
-        out.append(int(np.packbits(2 * ones > len(h)).view(">i8")[0]))
-    return out
+    digest = (xxhash.xxh64_digest, xxhash.xxh3_128_digest)[words - 1]
+    h = np.frombuffer(b"".join([digest(flat[s:e], SEED) for s, e in cut]), np.uint8).reshape(len(cut), -1)
+    ones = np.zeros(64 * words, np.int64)
+    for at in range(0, len(h), 1 << 15):
+        ones += np.unpackbits(h[at : at + (1 << 15)], axis=1).sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * ones > len(h)).view(">i8").tolist()
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                  width: int = 3, words: int = 1) -> DataFrame:
     """(id, fp array<long>) per row: ASCII letters in lower case, words parted by
-    ASCII white space, shingles hashed by XXH64; a bit is 1 if over half of the
+    ASCII white space, shingles hashed by XXH64 for one
+    word, by XXH3 for two; a bit is 1 if over half of the
     hashes have it. Shorter texts are one shingle, texts without words give 0."""
 
     def run(batches):
