@@ -11,8 +11,8 @@ from .common import stage, text_or_empty
 ODD = "\t\x0b\x0c\r"
 #: Least Jaccard similarity, as a fraction.
 NUM, DEN = 4, 5
-BUCKET_BITS = 16
-HASH_BITS = 57
+BUCKET_BITS = 18
+HASH_BITS = 55
 #: Entries up to which a table of ids with line numbers is broadcast; a larger one is joined by shuffles.
 BROADCAST_LINES = 1_000_000
 NO_ID = -(2**63)
@@ -27,35 +27,13 @@ def _blanks(text: Column) -> Column:
     return F.when(odd, F.translate(text, ODD, " " * len(ODD))).otherwise(text)
 
 
-def words_of(line: Column) -> Column:
-    return F.array_remove(F.split(line, " "), "")
-
-
-def with_shingles(rows: DataFrame, width: int) -> DataFrame:
-    """``rows`` with the column ``s``: from the word hashes in ``h``, a hash of each
-    run of ``width`` words, or of all words where they are fewer.
-
-    Runs of doubled length come from two neighbours of half the length, so a
-    word takes few steps. Past the end a run has null parts, which the hash
-    passes over; such runs are cut off, but for the first of a short line. Every
-    length is a column of its own, so that none is computed twice.
-    """
-    made, keep = {1: "h"}, rows.columns
-
-    def join_runs(rows: DataFrame, a: int, b: int) -> DataFrame:
-        longer = F.zip_with(made[a], F.slice(made[b], F.lit(a + 1), F.size(made[b])), lambda x, y: F.xxhash64(x, y))
-        made[a + b] = f"run{a + b}"
-        return rows.withColumn(made[a + b], longer)
-
-    size = 1
-    while 2 * size <= width:
-        rows, size = join_runs(rows, size, size), 2 * size
-    done = size
-    while done < width:
-        part = max(k for k in made if done + k <= width)
-        rows, done = join_runs(rows, done, part), done + part
-    whole = F.slice(made[width], F.lit(1), F.greatest(F.lit(1), F.size("h") - width + 1))
-    return rows.withColumn("s", whole).select(*keep, "s")
+def with_runs(rows: DataFrame, width: int) -> DataFrame:
+    """``rows`` with the column ``runs``: of the line in ``line``, every run of
+    ``width`` words, or all words where they are fewer, parted by single blanks."""
+    line = F.when(F.contains("line", F.lit("  ")), F.regexp_replace("line", "  +", " ")).otherwise(F.col("line"))
+    run = rf"(?<![^ ])(?=([^ ]++(?: [^ ]++){{{width - 1}}}))"
+    rows = rows.withColumn("line", F.trim(line)).withColumn("runs", F.regexp_extract_all("line", F.lit(run), F.lit(1)))
+    return rows.withColumn("runs", F.when(F.size("runs") > 0, F.col("runs")).otherwise(F.array("line")))
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -65,32 +43,28 @@ def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.where(F.trim("line") != "")
 
 
-def _hashes(line: Column) -> Column:
-    return F.transform(words_of(line), lambda w: F.xxhash64(w))
-
-
 def _bucket(h: Column) -> Column:
     return F.shiftrightunsigned(h, 64 - BUCKET_BITS).cast("int")
 
 
-def _ranks(lines: DataFrame) -> DataFrame:
-    """One row: for each bucket of word hashes, the binary logarithm of how many
-    words of all lines fall there, in the place of a token's upper bits. The
-    table has a fixed size, whatever is counted."""
-    counts = lines.select(F.explode(words_of(F.col("line"))).alias("w")).groupBy(_bucket(F.xxhash64("w")).alias("b")).agg(F.count("*").alias("n"))
+def _ranks(lines: DataFrame, width: int) -> DataFrame:
+    """One row: for each bucket of token hashes, the binary logarithm of how many
+    tokens of all lines fall there, in the place of a token's upper bits. The
+    table has a fixed size, whatever is counted; the tokens that stand out of
+    their buckets are those with a large share of all."""
+    runs = with_runs(lines, width).select(F.explode("runs").alias("r"))
+    counts = runs.groupBy(_bucket(F.xxhash64("r")).alias("b")).agg(F.count("*").alias("n"))
     every = lines.sparkSession.range(0, 1 << BUCKET_BITS, numPartitions=1).select(F.col("id").cast("int").alias("b"))
-    rank = F.floor(F.log2(F.coalesce("n", F.lit(0)) + 1)).cast("long")
+    rank = F.floor(4 * F.log2(F.coalesce("n", F.lit(0)) + 1)).cast("long")
     ordered = F.array_sort(F.collect_list(F.struct(F.col("b"), F.shiftleft(rank, HASH_BITS).alias("r"))))
     return every.join(F.broadcast(counts), "b", "left").agg(F.transform(ordered, lambda x: x["r"]).alias("ranks"))
 
 
 def _tokens(ranks: Column) -> Column:
-    """Distinct tokens in the order of rarity: rank of the first word above, hash
-    of the run below. No token is more frequent than its first word."""
+    """Distinct tokens in the order of rarity: rank above, hash of the run below."""
     mask = F.lit((1 << HASH_BITS) - 1)
-    first = F.slice("h", F.lit(1), F.size("s"))
-    both = F.zip_with("s", first, lambda s, h: F.coalesce(F.get(ranks, _bucket(h)).bitwiseOR(s.bitwiseAND(mask)), F.lit(0)))
-    return F.sort_array(F.array_distinct(both))
+    ranked = lambda h: F.coalesce(F.get(ranks, _bucket(h)).bitwiseOR(h.bitwiseAND(mask)), F.lit(0))
+    return F.sort_array(F.array_distinct(F.transform("s", ranked)))
 
 
 def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -112,7 +86,7 @@ def kept_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     that stay, from 0 and in order. Lines without words are not counted.
 
     A line's tokens are its distinct runs of ``width`` words, or all its words
-    where they are fewer; a token counts as rare as its first word. A line goes if an earlier line, by id and line number,
+    where they are fewer, ranked by how many tokens share their bucket of hashes. A line goes if an earlier line, by id and line number,
     has a Jaccard similarity of NUM/DEN or more to it, whether that one stays
     or not. Lines with the same words are one class, which its first line stands
     for. Of n tokens in the order of rarity, n - ceil(s*n) + 1 are posted: two
@@ -128,10 +102,10 @@ def kept_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     empty; other columns are ignored; no rows give no rows.
     """
     lines = _lines(docs, id_col, text_col)
-    ranks = stage(_ranks(lines), "ranks").scalar()
+    ranks = stage(_ranks(lines, width), "ranks").scalar()
     # a column of its own as subqueries may not stand in a lambda; the optimizer puts it back as a constant
-    runs = with_shingles(lines.select("id", "no", _hashes(F.col("line")).alias("h")), width).withColumn("ranks", ranks)
-    set_ = runs.select("id", "no", F.xxhash64("h").alias("c1"), F.hash("h").alias("c2"), _tokens(F.col("ranks")).alias("tokens"))
+    runs = with_runs(lines, width).select("id", "no", "line", F.transform("runs", lambda r: F.xxhash64(r)).alias("s"), ranks.alias("ranks"))
+    set_ = runs.select("id", "no", F.xxhash64("line").alias("c1"), F.hash("line").alias("c2"), _tokens(F.col("ranks")).alias("tokens"))
     n = F.size("tokens")
     posted = F.slice("tokens", F.lit(1), (n - F.floor((NUM * n + DEN - 1) / DEN) + 1).cast("int"))
     classes = (
@@ -159,8 +133,8 @@ def kept_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     entries = lines_in.agg(F.sum(F.size("nos"))).first()[0] or 0
     split = docs.select(F.coalesce(docs[id_col].cast("long"), F.lit(NO_ID)).alias("id"), F.split(_blanks(text_or_empty(docs, text_col)), "\n", -1).alias("all"))
     wanted = _by_id(lines_in, split, entries).select("id", F.explode("nos").alias("no"), "all").select("id", "no", F.get("all", F.col("no")).alias("l"))
-    sets = wanted.where(F.trim("l") != "").select(F.struct("id", "no").alias("line"), _hashes(F.col("l")).alias("h"))
-    sets = with_shingles(sets, width).select("line", F.array_distinct("s").alias("tokens"))
+    sets = with_runs(wanted.where(F.trim("l") != "").select(F.struct("id", "no").alias("key"), F.col("l").alias("line")), width)
+    sets = sets.select(F.col("key").alias("line"), F.array_distinct(F.transform("runs", lambda r: F.xxhash64(r))).alias("tokens"))
     sets = stage(sets, "sets")
 
     first = shared.where(F.col("line") != F.col("lead.line")).where(possible(F.col("n"), F.col("i"), F.col("lead.n"), F.col("lead.i")))
