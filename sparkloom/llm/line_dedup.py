@@ -39,7 +39,7 @@ def with_runs(rows: DataFrame, width: int) -> DataFrame:
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, no, line) of every line that has words."""
     ident = F.coalesce(docs[id_col].cast("long"), F.lit(NO_ID))
-    rows = docs.select(ident.alias("id"), F.posexplode(F.split(_blanks(text_or_empty(docs, text_col)), "\n", -1)).alias("no", "line"))
+    rows = docs.select(ident.alias("id"), F.posexplode_outer(F.split(_blanks(text_or_empty(docs, text_col)), "\n", -1)).alias("no", "line"))
     return rows.where(F.trim("line") != "")
 
 
@@ -52,7 +52,7 @@ def _ranks(lines: DataFrame, width: int) -> DataFrame:
     tokens of all lines fall there, in the place of a token's upper bits. The
     table has a fixed size, whatever is counted; the tokens that stand out of
     their buckets are those with a large share of all."""
-    runs = with_runs(lines, width).select(F.explode("runs").alias("r"))
+    runs = with_runs(lines, width).select(F.explode_outer("runs").alias("r"))  # the plain form computes what it explodes twice, to filter on it
     counts = runs.groupBy(_bucket(F.xxhash64("r")).alias("b")).agg(F.count("*").alias("n"))
     every = lines.sparkSession.range(0, 1 << BUCKET_BITS, numPartitions=1).select(F.col("id").cast("int").alias("b"))
     rank = F.floor(4 * F.log2(F.coalesce("n", F.lit(0)) + 1)).cast("long")
