@@ -7,7 +7,7 @@ import xxhash
 
 from sparkloom.llm.components import connected_components
 from sparkloom.llm.exact_dedup import exact_dedup
-from sparkloom.llm.simhash import compare_blocks, simhash_dedup, simhash_groups
+from sparkloom.llm.simhash import compare_blocks, propose, simhash_dedup, simhash_groups
 
 DOCS = "doc_id long, text string, source string, keep_id string, d string"
 
@@ -99,3 +99,27 @@ def test_simhash_dedup_keeps_one_of_each_group(spark):
     kept = simhash_dedup(docs(spark, rows))
     assert kept.columns == ["doc_id", "text", "source", "keep_id", "d"]
     assert {r["doc_id"] for r in kept.collect()} == {2 * k for k in range(40)} | {None}
+
+
+def test_simhash_dedup_decides_by_jaccard(spark):
+    """Ten pairs each at Jaccard 0.6, 0.75, 0.8 and 0.85: copies go from 0.8 on."""
+    rows, want = [], set()
+    for k, shared in enumerate([102] * 10 + [117] * 10 + [121] * 10 + [126] * 10):  # of 136 shingles each
+        random.seed(k)
+        words = [f"v{k}x{j}" for j in range(140)]
+        other = words[: shared + 4] + [f"u{k}x{j}" for j in range(136 - shared)]
+        rows += [(k, " ".join(words)), (1000 + k, " ".join(other))]
+        want |= {k} if shared / (272 - shared) >= 0.8 else {k, 1000 + k}
+    assert {r["doc_id"] for r in simhash_dedup(docs(spark, rows)).collect()} == want
+
+
+def test_links_between_parts_are_all_proposed():
+    rng = np.random.default_rng(3)
+    fp = np.repeat(rng.integers(0, 1 << 63, (40, 2), np.uint64), 5, axis=0)
+    fp[:, 0] ^= np.uint64(1) << rng.integers(0, 63, 200).astype(np.uint64)
+    near = np.bitwise_count(fp[:, None] ^ fp[None]).sum(axis=2) <= 4
+    part = np.arange(200) % 3
+    want = {(a, b) for a in range(200) for b in range(a) if near[a, b] and part[a] != part[b]}
+    assert {(max(x), min(x)) for x in propose(fp, fp, 4, True, part).tolist()} == want
+    forest = propose(fp, fp, 4, True, None)
+    assert len(forest) == 160 and all(near[a, b] for a, b in forest)
