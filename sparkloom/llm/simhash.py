@@ -306,8 +306,11 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """``docs`` without the rows that are near copies of a row with a smaller id,
     directly or over other rows, as ``near_copies`` finds them.
 
-    Rows with null ids and further rows with an id that stays are kept.
+    Rows are told apart by id and text: of an id with several texts, each row
+    goes or stays by its own group. Rows with null ids and further rows with the
+    id that stands for their group are kept.
     """
     groups = near_copies(docs, id_col, text_col, width, words, radius)
-    gone = groups.where("id <> component").select(F.col("id").alias("_gone")).distinct()
-    return docs.join(gone, docs[id_col] == F.col("_gone"), "left_anti")
+    gone = groups.where("id <> component").select(*(F.col(k).alias(f"_gone{k}") for k in KEY)).distinct()
+    k1, k2 = _row_key(docs[id_col], text_or_empty(docs, text_col))
+    return docs.join(gone, (k1 == F.col("_gonek1")) & (k2 == F.col("_gonek2")), "left_anti")

@@ -123,3 +123,11 @@ def test_links_between_parts_are_all_proposed():
     assert {(max(x), min(x)) for x in propose(fp, fp, 4, True, part).tolist()} == want
     forest = propose(fp, fp, 4, True, None)
     assert len(forest) == 160 and all(near[a, b] for a, b in forest)
+
+
+def test_simhash_dedup_of_an_id_that_stays_and_goes(spark):
+    random.seed(9)
+    a, b = (" ".join("w%d" % random.randrange(5000) for _ in range(300)) for _ in range(2))
+    rows = [(1, a), (7, a + " tail"), (7, b), (9, b + " tail"), (None, a), (None, b)]
+    got = [(r["doc_id"], r["text"]) for r in simhash_dedup(docs(spark, rows)).collect()]
+    assert sorted(got, key=str) == sorted([(1, a), (7, b), (None, a), (None, b)], key=str)
