@@ -36,10 +36,14 @@ def with_runs(rows: DataFrame, width: int) -> DataFrame:
     return rows.withColumn("runs", F.when(F.size("runs") > 0, F.col("runs")).otherwise(F.array("line")))
 
 
+def row_key(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> list[Column]:
+    """Id and hash of the text, which only rows that are the same document share."""
+    return [F.coalesce(docs[id_col].cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64(text_or_empty(docs, text_col)).alias("h")]
+
+
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, no, line) of every line that has words."""
-    ident = F.coalesce(docs[id_col].cast("long"), F.lit(NO_ID))
-    rows = docs.select(ident.alias("id"), F.posexplode_outer(F.split(_blanks(text_or_empty(docs, text_col)), "\n", -1)).alias("no", "line"))
+    """(id, h, no, line) of every line that has words."""
+    rows = docs.select(*row_key(docs, id_col, text_col), F.posexplode_outer(F.split(_blanks(text_or_empty(docs, text_col)), "\n", -1)).alias("no", "line"))
     return rows.where(F.trim("line") != "")
 
 
@@ -75,19 +79,20 @@ def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return found.select("x", "y")
 
 
-def _by_id(table: DataFrame, docs: DataFrame, entries: int) -> DataFrame:
-    """Inner join of rows with an id and the table of ids; the table is broadcast
-    only where its counted entries are few."""
-    return docs.join(F.broadcast(table) if entries <= BROADCAST_LINES else table, "id")
+def _by_row(table: DataFrame, docs: DataFrame, entries: int) -> DataFrame:
+    """Inner join of rows with their keys and the table of keys; the table is
+    broadcast only where its counted entries are few."""
+    return docs.join(F.broadcast(table) if entries <= BROADCAST_LINES else table, ["id", "h"])
 
 
 def kept_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5) -> DataFrame:
-    """(id, kept): for each id with a line that stays, the numbers of its lines
-    that stay, from 0 and in order. Lines without words are not counted.
+    """(id, h, kept): for each row, by ``row_key``, with a line that stays, the
+    numbers of its lines that stay, from 0 and in order. Lines without words are
+    not counted.
 
     A line's tokens are its distinct runs of ``width`` words, or all its words
-    where they are fewer, ranked by how many tokens share their bucket of hashes. A line goes if an earlier line, by id and line number,
-    has a Jaccard similarity of NUM/DEN or more to it, whether that one stays
+    where they are fewer, ranked by how many tokens share their bucket of hashes. A line goes if an earlier line, by id, line number
+    and hash of the text, has a Jaccard similarity of NUM/DEN or more to it, whether that one stays
     or not. Lines with the same words are one class, which its first line stands
     for. Of n tokens in the order of rarity, n - ceil(s*n) + 1 are posted: two
     similar sets share one of them. Within a token's posts, length and position
@@ -97,20 +102,21 @@ def kept_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     compared with the earliest class of each of its tokens only; just those
     that no such comparison removes go on to meet all earlier ones.
 
-    Rows that share an id are one document: a line number stays if it stays in
-    one of them. A null id is one id before all others. Null text counts as
+    Rows that share id and text are one document and lose the same lines; rows
+    that share only the id, or have none, are documents of their own. Null ids
+    come before all others. Null text counts as
     empty; other columns are ignored; no rows give no rows.
     """
     lines = _lines(docs, id_col, text_col)
     ranks = stage(_ranks(lines, width), "ranks").scalar()
     # a column of its own as subqueries may not stand in a lambda; the optimizer puts it back as a constant
-    runs = with_runs(lines, width).select("id", "no", "line", F.transform("runs", lambda r: F.xxhash64(r)).alias("s"), ranks.alias("ranks"))
-    set_ = runs.select("id", "no", F.xxhash64("line").alias("c1"), F.hash("line").alias("c2"), _tokens(F.col("ranks")).alias("tokens"))
+    runs = with_runs(lines, width).select("id", "no", "h", "line", F.transform("runs", lambda r: F.xxhash64(r)).alias("s"), ranks.alias("ranks"))
+    set_ = runs.select("id", "no", "h", F.xxhash64("line").alias("c1"), F.hash("line").alias("c2"), _tokens(F.col("ranks")).alias("tokens"))
     n = F.size("tokens")
     posted = F.slice("tokens", F.lit(1), (n - F.floor((NUM * n + DEN - 1) / DEN) + 1).cast("int"))
     classes = (
-        set_.select("id", "no", "c1", "c2", n.alias("n"), posted.alias("prefix"))
-        .groupBy("c1", "c2", "n").agg(F.min(F.struct("id", "no")).alias("line"), F.any_value("prefix").alias("prefix"))
+        set_.select("id", "no", "h", "c1", "c2", n.alias("n"), posted.alias("prefix"))
+        .groupBy("c1", "c2", "n").agg(F.min(F.struct("id", "no", "h")).alias("line"), F.any_value("prefix").alias("prefix"))
         .select("line", "n", "prefix")
     )
     classes = stage(classes, "classes")
@@ -128,12 +134,12 @@ def kept_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         most = 1 + F.least(na - ia, nb - ib) - 1
         return (DEN * F.least(na, nb) >= NUM * F.greatest(na, nb)) & ((NUM + DEN) * most >= NUM * (na + nb))
 
-    lines_in = shared.select("line").distinct().groupBy("line.id").agg(F.collect_list("line.no").alias("nos"))
+    lines_in = shared.select("line").distinct().groupBy("line.id", "line.h").agg(F.collect_list("line.no").alias("nos"))
     lines_in = stage(lines_in, "wanted")
     entries = lines_in.agg(F.sum(F.size("nos"))).first()[0] or 0
-    split = docs.select(F.coalesce(docs[id_col].cast("long"), F.lit(NO_ID)).alias("id"), F.split(_blanks(text_or_empty(docs, text_col)), "\n", -1).alias("all"))
-    wanted = _by_id(lines_in, split, entries).select("id", F.explode("nos").alias("no"), "all").select("id", "no", F.get("all", F.col("no")).alias("l"))
-    sets = with_runs(wanted.where(F.trim("l") != "").select(F.struct("id", "no").alias("key"), F.col("l").alias("line")), width)
+    split = docs.select(*row_key(docs, id_col, text_col), F.split(_blanks(text_or_empty(docs, text_col)), "\n", -1).alias("all"))
+    wanted = _by_row(lines_in, split, entries).select("id", "h", F.explode("nos").alias("no"), "all").select("id", "no", "h", F.get("all", F.col("no")).alias("l"))
+    sets = with_runs(wanted.where(F.trim("l") != "").select(F.struct("id", "no", "h").alias("key"), F.col("l").alias("line")), width)
     sets = sets.select(F.col("key").alias("line"), F.array_distinct(F.transform("runs", lambda r: F.xxhash64(r))).alias("tokens"))
     sets = stage(sets, "sets")
 
@@ -148,17 +154,17 @@ def kept_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     more = _similar(rest.select("x", "y").distinct(), sets).select("x").distinct()
     gone = gone.union(more)
     stay = classes.select("line").join(gone, F.col("line") == F.col("x"), "left_anti")
-    return stay.groupBy("line.id").agg(F.array_sort(F.collect_set("line.no")).alias("kept"))
+    return stay.groupBy("line.id", "line.h").agg(F.array_sort(F.collect_set("line.no")).alias("kept"))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5) -> DataFrame:
     """``docs`` with the lines that ``kept_lines`` removes cut from the text, and
     without the documents that lose all lines that had words. Lines without
     words stay; documents that have no words stay as they are."""
-    kept = stage(kept_lines(docs, id_col, text_col, width), "kept").select(F.col("id").alias("_id"), F.col("kept").alias("_kept"))
+    kept = stage(kept_lines(docs, id_col, text_col, width), "kept").select(F.col("id").alias("_id"), F.col("h").alias("_h"), F.col("kept").alias("_kept"))
     entries = kept.agg(F.sum(F.size("_kept"))).first()[0] or 0
-    ident = F.coalesce(docs[id_col].cast("long"), F.lit(NO_ID))
-    rows = docs.join(F.broadcast(kept) if entries <= BROADCAST_LINES else kept, ident == F.col("_id"), "left")
+    ident, h = row_key(docs, id_col, text_col)
+    rows = docs.join(F.broadcast(kept) if entries <= BROADCAST_LINES else kept, (ident == F.col("_id")) & (h == F.col("_h")), "left")
     rows = rows.withColumn("_all", F.split(text_or_empty(docs, text_col), "\n", -1))
 
     def places(test) -> Column:  # names the lines once, as the optimizer may put the split in their place

@@ -118,6 +118,21 @@ def test_lines_match_brute_force(spark):
     assert got == brute_lines(rows)
 
 
+def test_lines_of_null_and_repeated_ids(spark):
+    run = " ".join("w%d" % k for k in range(40))
+    rows = [
+        (None, f"{run}\nfirst null line"), (None, f"second null line\n{run} tail"), (None, f"{run} end\nthird null line"),
+        (3, f"{run} more\nonly three"), (3, f"other three\n{run}"), (3, f"other three\n{run}"), (4, "first null line\nlast"),
+    ]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    # of the near copies the first by id, line number and hash of the text stays
+    out = sorted((str(r["doc_id"]), r["text"]) for r in dedup_lines(df).collect())
+    nulls = [t for i, t in out if i == "None"]
+    assert sorted(x for t in nulls for x in t.split("\n") if not x.startswith(run)) == ["first null line", "second null line", "third null line"]
+    assert sum(run in t for t in nulls) == 1
+    assert [x for x in out if x[0] != "None"] == [("3", "only three"), ("3", "other three"), ("3", "other three"), ("4", "last")]
+
+
 def test_dedup_lines_cuts_texts(spark):
     rows = [(1, "same words here\n\nonly one", "c"), (2, "same words here\nonly two", "c"), (3, "same  words here", "c"), (4, None, "c"), (5, "", "c"), (None, "fresh start", "c")]
     df = spark.createDataFrame(rows, "doc_id long, text string, kept string")
