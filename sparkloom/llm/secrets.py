@@ -18,7 +18,7 @@ WEAK_SECRET = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+={0,2}"
 WEAK_ENDPOINT = r"""(?:https?|postgres(?:ql)?|mysql|redis|amqp|mongodb)://[^\s"'<>]+|(?<![A-Za-z0-9.-])[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++:[0-9]{2,5}"""
 #: Roles of the kinds: identifier, secret, endpoint.
 ROLES = {"assign": 1, "access": 0, "hex": 1, "id": 0, "secret": 1, "endpoint": 2}
-#: Code points of a scope; scopes overlap by half.
+#: Two parts are near if fewer code points than this lie between them.
 SCOPE = 256
 KEY = ["k1", "k2"]
 
@@ -46,28 +46,43 @@ def _parts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def linked_spans(parts: DataFrame) -> DataFrame:
-    """(k1, k2, linked): the weak parts of each row that a scope joins with what
-    complements them. An identifier needs a secret in one of its scopes, a
-    secret an identifier or endpoint, an endpoint both of the others.
-
-    Intervals meet in scopes: each is sent to the few scopes it touches, a scope
-    is reduced to three flags, and weak parts join the flags of their scopes.
-    So work grows with the parts and not with their pairs.
+    """(k1, k2, linked): the weak parts of each row that are near what
+    complements them. An identifier needs a secret near it, a secret an
+    identifier or endpoint, an endpoint both of the others.
+
+    Parts meet in buckets of SCOPE code points: each is sent to those it touches.
+    A part that is near another touches the bucket of it or one beside, so for
+    each role a bucket keeps the least start of its own parts and the next
+    bucket's, and the greatest end of its own and the last bucket's; true
+    distances to these two decide. So the result does not depend on where the
+    text begins, and work grows with the parts and not with their pairs.
     """
-    half = SCOPE // 2
     role = F.get(F.array(*(F.lit(ROLES[k]) for k in KINDS)), F.col("p.kind"))
+    bucket = lambda at: F.floor(at / SCOPE)
     inside = parts.where(F.size("weak") > 0).select(*KEY, F.explode(F.concat("base", "weak")).alias("p"))
-    inside = inside.select(
-        *KEY, "p", role.alias("role"),
-        F.explode(F.sequence(F.greatest(F.lit(0), F.floor((F.col("p.start") - SCOPE) / half) + 1), F.floor((F.col("p.end") - 1) / half))).alias("scope"),
+    inside = inside.select(*KEY, "p", role.alias("role"), F.explode(F.sequence(bucket(F.col("p.start")), bucket(F.col("p.end") - 1))).alias("scope"))
+    of = lambda r, x: F.when(F.col("role") == r, F.col(x))
+    ends = inside.groupBy(*KEY, "scope").agg(
+        *(F.min(of(r, "p.start")).alias(f"low{r}") for r in range(3)), *(F.max(of(r, "p.end")).alias(f"high{r}") for r in range(3))
+    )
+    sent = ends.select("*", F.explode(F.array(*map(F.lit, (-1, 0, 1)))).alias("by"))
+    around = sent.groupBy(*KEY, (F.col("scope") + F.col("by")).alias("scope")).agg(
+        *(F.min(F.when(F.col("by") <= 0, F.col(f"low{r}"))).alias(f"low{r}") for r in range(3)),
+        *(F.max(F.when(F.col("by") >= 0, F.col(f"high{r}"))).alias(f"high{r}") for r in range(3)),
     )
-    flags = inside.groupBy(*KEY, "scope").agg(*(F.bool_or(F.col("role") == r).alias(f"has{r}") for r in range(3)))
+    hits = inside.where(F.col("p.kind") > 2).join(around, [*KEY, "scope"])
+
+    def near(r: int):
+        after, before = F.col(f"low{r}") - F.col("p.end") < SCOPE, F.col("p.start") - F.col(f"high{r}") < SCOPE
+        return F.coalesce(after, F.lit(False)) | F.coalesce(before, F.lit(False))
+
+    # a part may be near its complements from different buckets
+    found = hits.groupBy(*KEY, "p", "role").agg(*(F.bool_or(near(r)).alias(f"near{r}") for r in range(3)))
     met = (
-        F.when(F.col("role") == 0, F.col("has1")).when(F.col("role") == 1, F.col("has0") | F.col("has2"))
-        .otherwise(F.col("has0") & F.col("has1"))
+        F.when(F.col("role") == 0, F.col("near1")).when(F.col("role") == 1, F.col("near0") | F.col("near2"))
+        .otherwise(F.col("near0") & F.col("near1"))
     )
-    hits = inside.where(F.col("p.kind") > 2).join(flags, [*KEY, "scope"]).where(met)
-    return hits.groupBy(*KEY).agg(F.collect_set("p").alias("linked"))
+    return found.where(met).groupBy(*KEY).agg(F.collect_set("p").alias("linked"))
 
 
 def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
