@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stage, text_or_empty
+from .common import scratch, stage, text_or_empty
 
 #: White space within a line besides the blank.
 ODD = "\t\x0b\x0c\r"
 #: Least Jaccard similarity, as a fraction.
 NUM, DEN = 4, 5
-BUCKET_BITS = 18
-HASH_BITS = 55
+#: Buckets of token hashes whose tokens are counted.
+BUCKET_BITS = 16
 #: Entries up to which a table of ids with line numbers is broadcast; a larger one is joined by shuffles.
 BROADCAST_LINES = 1_000_000
 NO_ID = -(2**63)
@@ -27,48 +27,75 @@ def _blanks(text: Column) -> Column:
     return F.when(odd, F.translate(text, ODD, " " * len(ODD))).otherwise(text)
 
 
-def with_runs(rows: DataFrame, width: int) -> DataFrame:
-    """``rows`` with the column ``runs``: of the line in ``line``, every run of
-    ``width`` words, or all words where they are fewer, parted by single blanks."""
-    line = F.when(F.contains("line", F.lit("  ")), F.regexp_replace("line", "  +", " ")).otherwise(F.col("line"))
-    run = rf"(?<![^ ])(?=([^ ]++(?: [^ ]++){{{width - 1}}}))"
-    rows = rows.withColumn("line", F.trim(line)).withColumn("runs", F.regexp_extract_all("line", F.lit(run), F.lit(1)))
-    return rows.withColumn("runs", F.when(F.size("runs") > 0, F.col("runs")).otherwise(F.array("line")))
-
-
 def row_key(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> list[Column]:
     """Id and hash of the text, which only rows that are the same document share."""
     return [F.coalesce(docs[id_col].cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64(text_or_empty(docs, text_col)).alias("h")]
 
 
+def _words(line: Column) -> Column:
+    return F.array_remove(F.split(line, " ", -1), "")
+
+
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, h, no, line) of every line that has words."""
+    """(id, h, no, w) of every line that has words, with its words."""
     rows = docs.select(*row_key(docs, id_col, text_col), F.posexplode_outer(F.split(_blanks(text_or_empty(docs, text_col)), "\n", -1)).alias("no", "line"))
-    return rows.where(F.trim("line") != "")
+    return rows.where(F.trim("line") != "").select("id", "h", "no", _words(F.col("line")).alias("w"))
+
+
+def _hashed_words() -> Column:
+    return F.transform("w", lambda x: F.xxhash64(x))
+
+
+def _runs(width: int) -> Column:
+    """Every run of ``width`` words of the array ``w`` as a struct; a shorter line
+    is one run of all its words, the others null."""
+    size = F.size("w")
+    runs = F.arrays_zip(*(F.slice("w", F.lit(1 + k), F.greatest(size - width + 1, F.lit(0))).alias(f"w{k}") for k in range(width)))
+    short = F.array(F.struct(*(F.get("w", F.lit(k)).alias(f"w{k}") for k in range(width))))
+    return F.when(size >= width, runs).otherwise(short)
+
+
+def _hash(run, width: int) -> Column:
+    return F.xxhash64(*(run[f"w{k}"] if run is not None else F.col(f"w{k}") for k in range(width)))
 
 
 def _bucket(h: Column) -> Column:
     return F.shiftrightunsigned(h, 64 - BUCKET_BITS).cast("int")
 
 
-def _ranks(lines: DataFrame, width: int) -> DataFrame:
-    """One row: for each bucket of token hashes, the binary logarithm of how many
-    tokens of all lines fall there, in the place of a token's upper bits. The
-    table has a fixed size, whatever is counted; the tokens that stand out of
-    their buckets are those with a large share of all."""
-    runs = with_runs(lines, width).select(F.explode_outer("runs").alias("r"))  # the plain form computes what it explodes twice, to filter on it
-    counts = runs.groupBy(_bucket(F.xxhash64("r")).alias("b")).agg(F.count("*").alias("n"))
+def _levels(lines: DataFrame, width: int) -> DataFrame:
+    """One row: for each bucket of token hashes its level, 0 where the number of
+    tokens of all lines that fall there is at most a tenth above the mean, and one
+    more for each further 19 %. The table has a fixed size, whatever is counted; the tokens that
+    stand out of their buckets are those with a large share of all."""
+    # the plain form computes what it explodes twice, to filter on it
+    each = lines.select(_hashed_words().alias("w")).select(F.inline_outer(_runs(width)))
+    counts = each.groupBy(_bucket(_hash(None, width)).alias("b")).agg(F.count("*").alias("n"))
     every = lines.sparkSession.range(0, 1 << BUCKET_BITS, numPartitions=1).select(F.col("id").cast("int").alias("b"))
-    rank = F.floor(4 * F.log2(F.coalesce("n", F.lit(0)) + 1)).cast("long")
-    ordered = F.array_sort(F.collect_list(F.struct(F.col("b"), F.shiftleft(rank, HASH_BITS).alias("r"))))
-    return every.join(F.broadcast(counts), "b", "left").agg(F.transform(ordered, lambda x: x["r"]).alias("ranks"))
+    both = every.join(F.broadcast(counts), "b", "left").agg(F.array_sort(F.collect_list(F.struct("b", F.coalesce("n", F.lit(0)).alias("n")))).alias("ns"), F.sum("n").alias("all"))
+    over = lambda n: F.greatest(F.lit(0), F.ceil(4 * F.log2((n + 1) * (1 << BUCKET_BITS) / (1.1 * (F.col("all") + 1)))))
+    return both.select(F.transform("ns", lambda x: over(x["n"]).cast("tinyint")).alias("levels"))
+
 
+def _level(levels: Column, h: Column) -> Column:
+    return F.get(levels, _bucket(h))
 
-def _tokens(ranks: Column) -> Column:
-    """Distinct tokens in the order of rarity: rank above, hash of the run below."""
-    mask = F.lit((1 << HASH_BITS) - 1)
-    ranked = lambda h: F.coalesce(F.get(ranks, _bucket(h)).bitwiseOR(h.bitwiseAND(mask)), F.lit(0))
-    return F.sort_array(F.array_distinct(F.transform("s", ranked)))
+
+def _posted(hashed: DataFrame) -> DataFrame:
+    """``hashed`` with the first n - ceil(s*n) + 1 of the n sorted ``tokens`` as
+    ``prefix``, those of level 0 first and the others by their levels. Most lines
+    have enough of level 0 among twice as many of the smallest hashes; only the
+    others are ordered as a whole."""
+    n = F.size("tokens")
+    k = (n - F.floor((NUM * n + DEN - 1) / DEN) + 1).cast("int")
+    plain = F.filter(F.slice("tokens", F.lit(1), 2 * k), lambda x: _level(F.col("levels"), x) == 0)
+    ordered = F.array_sort(F.transform("tokens", lambda x: F.struct(_level(F.col("levels"), x).alias("l"), x.alias("x"))))
+    prefix = F.when(F.size("plain") >= k, F.slice("plain", F.lit(1), k)).otherwise(F.transform(F.slice(ordered, F.lit(1), k), lambda x: x["x"]))
+    return hashed.select("*", plain.alias("plain")).select("*", n.alias("n"), prefix.alias("prefix"))
+
+
+def _tokens(width: int) -> Column:
+    return F.array_distinct(F.transform(_runs(width), lambda r: _hash(r, width)))
 
 
 def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -85,18 +112,37 @@ def _by_row(table: DataFrame, docs: DataFrame, entries: int) -> DataFrame:
     return docs.join(F.broadcast(table) if entries <= BROADCAST_LINES else table, ["id", "h"])
 
 
+def _shared(posts: DataFrame, levels: DataFrame) -> DataFrame:
+    """``posts`` (token, id, no, h, n, i) of the tokens that two or more classes
+    post, with the number of its posts and the least id among them.
+
+    Tokens of level 0 hold at most 1.1 / 2**BUCKET_BITS of all tokens each, so a
+    token's posts meet in one task. Those above are counted with partial sums
+    and joined back, where Spark can split a token over tasks.
+    """
+    marked = posts.withColumn("levels", levels.scalar())
+    marked = marked.select(*posts.columns, (_level(F.col("levels"), F.col("token")) > 0).alias("high"))
+    group = Window.partitionBy("token")
+    low = marked.where("not high").withColumns({"size": F.count("*").over(group), "low": F.min("id").over(group)}).where("size > 1")
+    sizes = marked.where("high").groupBy("token").agg(F.count("*").alias("size"), F.min("id").alias("low")).where("size > 1")
+    top = marked.where("high").join(sizes, "token")
+    columns = [*posts.columns, "size", "low"]
+    return low.select(*columns).unionByName(top.select(*columns))
+
+
 def kept_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5) -> DataFrame:
     """(id, h, kept): for each row, by ``row_key``, with a line that stays, the
     numbers of its lines that stay, from 0 and in order. Lines without words are
     not counted.
 
     A line's tokens are its distinct runs of ``width`` words, or all its words
-    where they are fewer, ranked by how many tokens share their bucket of hashes. A line goes if an earlier line, by id, line number
-    and hash of the text, has a Jaccard similarity of NUM/DEN or more to it, whether that one stays
-    or not. Lines with the same words are one class, which its first line stands
-    for. Of n tokens in the order of rarity, n - ceil(s*n) + 1 are posted: two
-    similar sets share one of them. Within a token's posts, length and position
-    bound the overlap.
+    where they are fewer, ranked by how many tokens share their bucket of hashes.
+    A line goes if an earlier line, by id, line number and hash of the text, has
+    a Jaccard similarity of NUM/DEN or more to it, whether that one stays or not.
+    Lines with the same words are one class, which its first line stands for. Of
+    n tokens in the order of rarity, n - ceil(s*n) + 1 are posted: two similar
+    sets share one of them. Length and position of a shared token bound the
+    overlap; what passes is verified on all tokens of both lines.
 
     So that large groups of near copies cost no pairs, every class is first
     compared with the earliest class of each of its tokens only; just those
@@ -104,76 +150,82 @@ def kept_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Rows that share id and text are one document and lose the same lines; rows
     that share only the id, or have none, are documents of their own. Null ids
-    come before all others. Null text counts as
-    empty; other columns are ignored; no rows give no rows.
+    come before all others. Null text counts as empty and has no lines; other
+    columns are ignored, whatever their names; no rows give no rows. Runs are
+    told apart by 64-bit hashes.
     """
-    lines = _lines(docs, id_col, text_col)
-    ranks = stage(_ranks(lines, width), "ranks").scalar()
-    # a column of its own as subqueries may not stand in a lambda; the optimizer puts it back as a constant
-    runs = with_runs(lines, width).select("id", "no", "h", "line", F.transform("runs", lambda r: F.xxhash64(r)).alias("s"), ranks.alias("ranks"))
-    set_ = runs.select("id", "no", "h", F.xxhash64("line").alias("c1"), F.hash("line").alias("c2"), _tokens(F.col("ranks")).alias("tokens"))
-    n = F.size("tokens")
-    posted = F.slice("tokens", F.lit(1), (n - F.floor((NUM * n + DEN - 1) / DEN) + 1).cast("int"))
-    classes = (
-        set_.select("id", "no", "h", "c1", "c2", n.alias("n"), posted.alias("prefix"))
-        .groupBy("c1", "c2", "n").agg(F.min(F.struct("id", "no", "h")).alias("line"), F.any_value("prefix").alias("prefix"))
-        .select("line", "n", "prefix")
-    )
-    classes = stage(classes, "classes")
-
-    posts = classes.select("line", "n", F.posexplode("prefix").alias("i", "token")).repartition("token")
-    group = Window.partitionBy("token")
-    shared = posts.select(
-        "token", "line", "n", "i", F.count("*").over(group).alias("size"),
-        F.first(F.struct("line", "n", "i")).over(group.orderBy("line")).alias("lead"),
-    ).where("size > 1")
-    shared = stage(shared, "shared")
-
-    def possible(na, ia, nb, ib):
-        """Length and position filter in whole numbers."""
-        most = 1 + F.least(na - ia, nb - ib) - 1
-        return (DEN * F.least(na, nb) >= NUM * F.greatest(na, nb)) & ((NUM + DEN) * most >= NUM * (na + nb))
-
-    lines_in = shared.select("line").distinct().groupBy("line.id", "line.h").agg(F.collect_list("line.no").alias("nos"))
-    lines_in = stage(lines_in, "wanted")
-    entries = lines_in.agg(F.sum(F.size("nos"))).first()[0] or 0
-    split = docs.select(*row_key(docs, id_col, text_col), F.split(_blanks(text_or_empty(docs, text_col)), "\n", -1).alias("all"))
-    wanted = _by_row(lines_in, split, entries).select("id", "h", F.explode("nos").alias("no"), "all").select("id", "no", "h", F.get("all", F.col("no")).alias("l"))
-    sets = with_runs(wanted.where(F.trim("l") != "").select(F.struct("id", "no", "h").alias("key"), F.col("l").alias("line")), width)
-    sets = sets.select(F.col("key").alias("line"), F.array_distinct(F.transform("runs", lambda r: F.xxhash64(r))).alias("tokens"))
-    sets = stage(sets, "sets")
-
-    first = shared.where(F.col("line") != F.col("lead.line")).where(possible(F.col("n"), F.col("i"), F.col("lead.n"), F.col("lead.i")))
-    first = first.select(F.col("line").alias("x"), F.col("lead.line").alias("y")).distinct()
-    gone = stage(_similar(first, sets).select("x").distinct(), "gone")
-    a = shared.where("size > 2").join(gone, shared["line"] == gone["x"], "left_anti").where(F.col("line") != F.col("lead.line"))
-    a = a.select("token", F.col("line").alias("x"), F.col("n").alias("na"), F.col("i").alias("ia"))
-    b = shared.where("size > 2").where(F.col("line") != F.col("lead.line"))
-    b = b.select("token", F.col("line").alias("y"), F.col("n").alias("nb"), F.col("i").alias("ib"))
-    rest = a.join(b, (a["token"] == b["token"]) & (b["y"] < a["x"]) & possible(a["na"], a["ia"], b["nb"], b["ib"]))
-    more = _similar(rest.select("x", "y").distinct(), sets).select("x").distinct()
-    gone = gone.union(more)
-    stay = classes.select("line").join(gone, F.col("line") == F.col("x"), "left_anti")
-    return stay.groupBy("line.id", "line.h").agg(F.array_sort(F.collect_set("line.no")).alias("kept"))
+    c, line = F.col, F.struct("id", "no", "h")
+    with scratch(docs.sparkSession) as put:
+        lines = _lines(docs, id_col, text_col)
+        levels = put(_levels(lines, width), "levels")
+        # a column of its own as subqueries may not stand in a lambda; the optimizer puts it back as a constant
+        hashed = lines.select(line.alias("line"), F.xxhash64("w").alias("c1"), F.hash("w").alias("c2"), _hashed_words().alias("w"))
+        hashed = hashed.select("line", "c1", "c2", F.sort_array(_tokens(width)).alias("tokens"), levels.scalar().alias("levels"))
+        classed = _posted(hashed).groupBy("c1", "c2", "n")
+        classes = put(classed.agg(F.min("line").alias("line"), F.any_value("prefix").alias("prefix")).select("line", "n", "prefix"), "classes")
+
+        posts = classes.select("line.*", "n", F.posexplode("prefix").alias("i", "token")).select("token", "id", "no", "h", "n", "i")
+        shared = put(_shared(posts, levels), "shared")
+        first = shared.where("id = low").groupBy("token").agg(F.min(F.struct("id", "no", "h", "n", "i")).alias("f"))
+        first = first.select("token", F.struct("f.id", "f.no", "f.h").alias("y"), c("f.n").alias("ny"), c("f.i").alias("iy"))
+        led = shared.join(first, "token").select("token", line.alias("x"), c("n").alias("nx"), c("i").alias("ix"), "y", "ny", "iy", "size")
+        led = put(led.where("x <> y"), "led")
+
+        def possible(na: str, ia: str, nb: str, ib: str) -> Column:
+            """Length and position filter in whole numbers."""
+            na, ia, nb, ib = map(c, (na, ia, nb, ib))
+            most = F.least(na - ia, nb - ib)
+            return (DEN * F.least(na, nb) >= NUM * F.greatest(na, nb)) & ((NUM + DEN) * most >= NUM * (na + nb))
+
+        pairs = put(led.where(possible("nx", "ix", "ny", "iy")).select("x", "y").distinct(), "pairs")
+        others = led.where("size > 2")  # of the tokens that more than the first and one other class post
+        met = pairs.select(F.explode(F.array("x", "y")).alias("x")).union(others.select("x")).distinct()
+        wanted = put(met.groupBy("x.id", "x.h").agg(F.collect_list("x.no").alias("nos")), "wanted")
+        entries = wanted.agg(F.sum(F.size("nos"))).first()[0] or 0
+        split = docs.select(*row_key(docs, id_col, text_col), F.split(_blanks(text_or_empty(docs, text_col)), "\n", -1).alias("all"))
+        found = _by_row(wanted, split, entries).select("id", "h", F.explode("nos").alias("no"), "all").select("id", "no", "h", _words(F.get("all", c("no"))).alias("w"))
+        sets = put(found.select(line.alias("line"), _hashed_words().alias("w")).select("line", _tokens(width).alias("tokens")), "sets")
+
+        gone = put(_similar(pairs, sets).select("x").distinct(), "gone")
+        a = others.join(gone, "x", "left_anti").select("token", "x", c("nx").alias("na"), c("ix").alias("ia"))
+        b = others.select("token", c("x").alias("y"), c("nx").alias("nb"), c("ix").alias("ib"))
+        rest = a.join(b, "token").where((c("y") < c("x")) & possible("na", "ia", "nb", "ib"))
+        gone = gone.union(_similar(rest.select("x", "y").distinct(), sets).select("x").distinct())
+        stay = classes.select("line").join(gone, c("line") == c("x"), "left_anti")
+        return stage(stay.groupBy("line.id", "line.h").agg(F.array_sort(F.collect_set("line.no")).alias("kept")), "kept")
+
+
+def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5) -> DataFrame:
+    """(id_col, id, h, worded, kept) for every row of ``docs``: its key by
+    ``row_key``, the numbers of its lines with words and of those that stay, as
+    ``kept_lines`` finds them."""
+    lines = F.split(text_or_empty(docs, text_col), "\n", -1)
+    worded = F.array_compact(F.transform(lines, lambda x, k: F.when(has_words(x), k)))
+    rows = docs.select(docs[id_col].alias(id_col), *(k.alias(f"{n}_") for k, n in zip(row_key(docs, id_col, text_col), "ih", strict=True)), worded.alias("worded"))
+    kept = kept_lines(docs, id_col, text_col, width).withColumnsRenamed({"id": "i_", "h": "h_"})
+    return rows.join(kept, ["i_", "h_"], "left").select(
+        id_col, F.col("i_"), F.col("h_"), "worded", F.coalesce("kept", F.array().cast("array<int>")).alias("kept")
+    )
+
+
+def has_words(line: Column) -> Column:
+    return line.rlike(r"[^\x20\x09-\x0D]")
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5) -> DataFrame:
     """``docs`` with the lines that ``kept_lines`` removes cut from the text, and
     without the documents that lose all lines that had words. Lines without
-    words stay; documents that have no words stay as they are."""
-    kept = stage(kept_lines(docs, id_col, text_col, width), "kept").select(F.col("id").alias("_id"), F.col("h").alias("_h"), F.col("kept").alias("_kept"))
-    entries = kept.agg(F.sum(F.size("_kept"))).first()[0] or 0
+    words stay; documents that have no words stay as they are, null text too.
+    Repeated rows each lose the same lines, so a document and its exact copies
+    with the same id stay or go together; no rows give no rows. Other columns
+    are returned unchanged, whatever their names."""
+    report = line_report(docs, id_col, text_col, width)
+    cut = report.select("i_", "h_", F.array_except("worded", "kept").alias("out"), (F.size("kept") == 0).alias("none"))
+    cut = stage(cut.where(F.size("out") > 0).dropDuplicates(["i_", "h_"]), "cut")
+    entries = cut.agg(F.sum(F.size("out"))).first()[0] or 0
     ident, h = row_key(docs, id_col, text_col)
-    rows = docs.join(F.broadcast(kept) if entries <= BROADCAST_LINES else kept, (ident == F.col("_id")) & (h == F.col("_h")), "left")
-    rows = rows.withColumn("_all", F.split(text_or_empty(docs, text_col), "\n", -1))
-
-    def places(test) -> Column:  # names the lines once, as the optimizer may put the split in their place
-        return F.array_compact(F.transform("_all", lambda line, k: F.when(test(line), k)))
-
-    has_words = lambda line: line.rlike(r"[^\x20\x09-\x0D]")
-    rows = rows.withColumn("_worded", places(has_words)).withColumn("_kept", F.array_intersect(F.coalesce("_kept", F.array().cast("array<int>")), "_worded"))
-    rows = rows.where((F.size("_worded") == 0) | (F.size("_kept") > 0))
-    blank = places(lambda line: ~has_words(line))
-    text = F.array_join(F.transform(F.array_sort(F.concat("_kept", blank)), lambda k: F.get("_all", k)), "\n")
-    new = F.when(F.size("_kept") == F.size("_worded"), F.col(text_col)).otherwise(text)
-    return rows.select(*(new.alias(c) if c == text_col else F.col(c) for c in docs.columns))
+    kept = docs.select(F.struct(*docs.columns).alias("row"), ident.alias("i_"), h.alias("h_"), text_or_empty(docs, text_col).alias("t"))
+    rows = kept.join(F.broadcast(cut) if entries <= BROADCAST_LINES else cut, ["i_", "h_"], "left").where(~F.coalesce("none", F.lit(False)))
+    lines = F.transform(F.split("t", "\n", -1), lambda x, k: F.when(~F.array_contains("out", k), x))
+    new = F.when(F.col("out").isNull(), F.col("row")[text_col]).otherwise(F.array_join(F.array_compact(lines), "\n"))
+    return rows.select(*((new if c == text_col else F.col("row")[c]).alias(c) for c in docs.columns))

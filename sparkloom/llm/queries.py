@@ -98,16 +98,12 @@ def op6_quality(spark, sf_dir):
 
 
 def op7_lines(spark, sf_dir):
-    from .common import text_or_empty
-    from .line_dedup import kept_lines, row_key
+    from .line_dedup import line_report
 
-    docs = read(spark, sf_dir, "documents")
-    worded = F.filter(F.split(text_or_empty(docs), "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    rows = docs.select("doc_id", *row_key(docs), F.size(worded).cast("long").alias("n_lines"))
-    n = F.coalesce(F.size("kept"), F.lit(0)).cast("long")
-    return rows.join(kept_lines(docs), ["id", "h"], "left").select(
-        "doc_id", "n_lines", n.alias("n_kept"), (F.col("n_lines") - n).alias("n_removed"),
-        F.coalesce(F.array_join(F.transform("kept", lambda k: k.cast("string")), ","), F.lit("")).alias("kept_lines"),
+    n, left = F.size("worded").cast("long"), F.size("kept").cast("long")
+    return line_report(read(spark, sf_dir, "documents")).select(
+        "doc_id", n.alias("n_lines"), left.alias("n_kept"), (n - left).alias("n_removed"),
+        F.array_join(F.transform("kept", lambda k: k.cast("string")), ",").alias("kept_lines"),
     )
 
 
