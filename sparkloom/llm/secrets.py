@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage, text_or_empty
-from .spans import joined, keyed, matches, outside, redact
+from .common import scratch, stage, text_or_empty
+from .spans import free, keyed, matches, merged, redact
 
 KINDS = ("assign", "access", "hex", "id", "secret", "endpoint")
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -20,6 +20,8 @@ WEAK_ENDPOINT = r"""(?:https?|postgres(?:ql)?|mysql|redis|amqp|mongodb)://[^\s"'
 ROLES = {"assign": 1, "access": 0, "hex": 1, "id": 0, "secret": 1, "endpoint": 2}
 #: Two parts are near if fewer code points than this lie between them.
 SCOPE = 256
+#: Rows with spans up to which their table is broadcast; a larger one is joined by shuffles.
+BROADCAST_ROWS = 100_000
 KEY = ["k1", "k2"]
 
 
@@ -40,15 +42,14 @@ def _parts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         F.filter(matches(text, WEAK_SECRET), mixed).alias("wsecret"), matches(text, WEAK_ENDPOINT).alias("wend"),
     )
     base = F.array_sort(F.concat(keyed(0, F.col("assign")), keyed(1, F.col("access")), keyed(2, F.col("hex"))))
-    rows = rows.select("id", *KEY, base.alias("base"), "wid", "wsecret", "wend")
-    weak = F.concat(*(keyed(k, outside(F.col(c), F.col("base"))) for k, c in ((3, "wid"), (4, "wsecret"), (5, "wend"))))
-    return rows.select("id", *KEY, "base", weak.alias("weak"))
+    weak = F.concat(*(keyed(k, F.col(c)) for k, c in ((3, "wid"), (4, "wsecret"), (5, "wend"))))
+    return rows.select("id", *KEY, base.alias("base"), weak.alias("weak"))
 
 
 def linked_spans(parts: DataFrame) -> DataFrame:
-    """(k1, k2, linked): the weak parts of each row that are near what
-    complements them. An identifier needs a secret near it, a secret an
-    identifier or endpoint, an endpoint both of the others.
+    """(k1, k2, linked): the weak parts of each row that overlap no base span and
+    are near what complements them. An identifier needs a secret near it, a
+    secret an identifier or endpoint, an endpoint both of the others.
 
     Parts meet in buckets of SCOPE code points: each is sent to those it touches.
     A part that is near another touches the bucket of it or one beside, so for
@@ -59,7 +60,9 @@ def linked_spans(parts: DataFrame) -> DataFrame:
     """
     role = F.get(F.array(*(F.lit(ROLES[k]) for k in KINDS)), F.col("p.kind"))
     bucket = lambda at: F.floor(at / SCOPE)
-    inside = parts.where(F.size("weak") > 0).select(*KEY, F.explode(F.concat("base", "weak")).alias("p"))
+    rows = parts.where(F.size("weak") > 0).select(*KEY, "base", "weak").dropDuplicates(KEY)
+    weak = free(rows.select(*KEY, F.explode(F.concat("base", "weak")).alias("p")), KEY, F.col("p.kind") < 3)
+    inside = weak.union(rows.select(*KEY, F.explode("base").alias("p")))
     inside = inside.select(*KEY, "p", role.alias("role"), F.explode(F.sequence(bucket(F.col("p.start")), bucket(F.col("p.end") - 1))).alias("scope"))
     of = lambda r, x: F.when(F.col("role") == r, F.col(x))
     ends = inside.groupBy(*KEY, "scope").agg(
@@ -101,16 +104,20 @@ def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def redact_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with every secret in the text replaced by its kind in brackets;
-    all rows stay, and null texts stay null."""
+    """``docs`` with every secret in the text replaced by its kind in brackets.
+
+    All rows stay, and null texts stay null; empty texts stay empty; rows with
+    null ids are scanned like others; repeated rows are changed alike; no rows
+    give no rows. Other columns are returned unchanged, whatever their names."""
     text = text_or_empty(docs, text_col)
-    parts = stage(_parts(docs, id_col, text_col), "parts")
-    linked = F.coalesce("linked", F.array().cast("array<struct<start:int,kind:int,end:int>>"))
-    spans = (
-        parts.where((F.size("base") > 0) | (F.size("weak") > 0)).dropDuplicates(KEY).join(linked_spans(parts), KEY, "left")
-        .select(*KEY, F.array_sort(F.concat("base", linked)).alias("_spans")).where(F.size("_spans") > 0)
-    )
-    keyed_docs = docs.select("*", *(k.alias(f"_{n}") for k, n in zip(_row_key(docs[id_col], text), KEY, strict=True)))
-    found = keyed_docs.join(spans.toDF("_k1", "_k2", "_spans"), ["_k1", "_k2"], "left")
-    new = F.when(F.col("_spans").isNull(), keyed_docs[text_col]).otherwise(redact(F.col(text_col), F.col("_spans"), KINDS))
-    return found.select(*(new.alias(c) if c == text_col else F.col(c) for c in docs.columns))
+    with scratch(docs.sparkSession) as put:
+        parts = put(_parts(docs, id_col, text_col).where((F.size("base") > 0) | (F.size("weak") > 0)), "parts")
+        linked = linked_spans(parts).select(*KEY, F.explode("linked").alias("p"))
+        base = parts.select(*KEY, "base").dropDuplicates(KEY).select(*KEY, F.explode("base").alias("p"))
+        spans = stage(merged(base.union(linked), KEY), "secrets")
+    found = docs.select(F.struct(*docs.columns).alias("row"), *(k.alias(n) for k, n in zip(_row_key(docs[id_col], text), KEY, strict=True)))
+    few = spans.count() <= BROADCAST_ROWS
+    found = found.join(F.broadcast(spans) if few else spans, KEY, "left")
+    old = F.col("row")[text_col]
+    new = F.when(F.col("spans").isNull(), old).otherwise(redact(old, F.col("spans"), KINDS))
+    return found.select(*((new if c == text_col else F.col("row")[c]).alias(c) for c in docs.columns))
