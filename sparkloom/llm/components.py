@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import scratch, stage
 
 
 def _signature(edges: DataFrame) -> tuple:
@@ -22,26 +22,25 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     edges are ignored; no edges give no rows.
     """
     a, b = F.col(src), F.col(dst)
-    e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
-    e = stage(e, "edges")
-    before = _signature(e)
-    while before[0]:
-        both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        large = (
-            both.join(low, "u").where("v > u")
-            .select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        )
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = (
-            large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-            .union(low.select("u", F.col("m").alias("v"))).distinct()
-        )
-        e = stage(small, "edges")
-        now = _signature(e)
-        if now == before:
-            break
-        before = now
-    return e.groupBy("u").agg(F.min("v").alias("component")).select(
-        F.col("u").alias("node"), "component"
-    ).union(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    with scratch(edges.sparkSession) as put:
+        e = put(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "edges")
+        before = _signature(e)
+        while before[0]:
+            both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+            low = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
+            large = (
+                both.join(low, "u").where("v > u")
+                .select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+            )
+            low = large.groupBy("u").agg(F.min("v").alias("m"))
+            small = (
+                large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+                .union(low.select("u", F.col("m").alias("v"))).distinct()
+            )
+            e = put(small, "edges")
+            now = _signature(e)
+            if now == before:
+                break
+            before = now
+        named = e.groupBy("u").agg(F.min("v").alias("component")).select(F.col("u").alias("node"), "component")
+        return stage(named.union(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()), "components")

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.ship import ship
-from .common import stage, text_or_empty
+from .common import scratch, stage, text_or_empty
 from .components import connected_components
 from .secrets import KEY, _row_key
 
@@ -195,7 +195,7 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     ids of the component are null. No rows give no rows.
     """
     prints = stage(fingerprints(docs, id_col, text_col, width, words), "fingerprints")
-    nodes = _nodes(prints)
+    nodes = stage(_nodes(prints), "nodes")
 
     def run(fp, key, cut, part):
         label = compare_blocks(fp[:cut], fp[cut:], radius, False) if cut else compare_blocks(fp, fp, radius, True)
@@ -207,8 +207,7 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 def _nodes(prints: DataFrame) -> DataFrame:
     """(fp, low, row, key) of each distinct fingerprint: smallest id, keys of one row, hash."""
-    nodes = prints.groupBy("fp").agg(F.min("id").alias("low"), F.min(F.struct(*KEY)).alias("row"), F.min(F.xxhash64("fp")).alias("key"))
-    return stage(nodes, "nodes")
+    return prints.groupBy("fp").agg(F.min("id").alias("low"), F.min(F.struct(*KEY)).alias("row"), F.min(F.xxhash64("fp")).alias("key"))
 
 
 def _links(nodes: DataFrame, find) -> DataFrame:
@@ -247,12 +246,12 @@ def _named(prints: DataFrame, nodes: DataFrame, linked: DataFrame) -> DataFrame:
     return prints.join(named, "fp").select("id", *KEY, "fp", "component")
 
 
-def _verified(links: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
+def _verified(put, links: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
     """The links whose texts share NUM/DEN of their distinct shingles. Texts are
     read again for the nodes with links only."""
-    links = stage(links.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct(), "links")
+    links = put(links.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct(), "links")
     ends = links.select(F.col("src").alias("key")).union(links.select("dst")).distinct()
-    rows = stage(nodes.join(ends, "key", "left_semi").select("key", F.col("row.k1").alias("k1"), F.col("row.k2").alias("k2")), "ends")
+    rows = put(nodes.join(ends, "key", "left_semi").select("key", F.col("row.k1").alias("k1"), F.col("row.k2").alias("k2")), "ends")
     few = rows.count() <= BROADCAST_KEYS
     text = text_or_empty(docs, text_col)
     texts = docs.select(*(k.alias(n) for k, n in zip(_row_key(docs[id_col], text), KEY, strict=True)), text.alias("t"))
@@ -263,11 +262,11 @@ def _verified(links: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str,
             sets = [np.unique(np.frombuffer(b"".join(_digests(t, width, 1)), ">i8").astype(np.int64)) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["key", "s"])
 
-    sets = stage(texts.mapInArrow(run, "key long, s array<long>"), "shingles")
+    sets = put(texts.mapInArrow(run, "key long, s array<long>"), "shingles")
     a, b = sets.select(F.col("key").alias("src"), F.col("s").alias("a")), sets.select(F.col("key").alias("dst"), F.col("s").alias("b"))
     both = F.size(F.array_intersect("a", "b"))
     met = links.join(a, "src").join(b, "dst").where(DEN * both >= NUM * (F.size("a") + F.size("b") - both))
-    return stage(met.select("src", "dst"), "verified")
+    return put(met.select("src", "dst"), "verified")
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -286,19 +285,20 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     the radius follow whose texts the verified links have not joined yet.
     Equal fingerprints are one node and are not compared.
     """
-    prints = stage(fingerprints(docs, id_col, text_col, width, words, True), "fingerprints")
-    nodes = _nodes(prints)
+    with scratch(docs.sparkSession) as put:
+        prints = put(fingerprints(docs, id_col, text_col, width, words, True), "fingerprints")
+        nodes = put(_nodes(prints), "nodes")
 
-    def run(fp, key, cut, part):
-        links = propose(fp[:cut] if cut else fp, fp[cut:], radius, not cut, part)
-        return key[links[:, 0]], key[links[:, 1]]
+        def run(fp, key, cut, part):
+            links = propose(fp[:cut] if cut else fp, fp[cut:], radius, not cut, part)
+            return key[links[:, 0]], key[links[:, 1]]
 
-    first = _verified(_links(nodes, run), nodes, docs, id_col, text_col, width)
-    joined = connected_components(first)
-    parted = nodes.join(joined, nodes["key"] == joined["node"], "left").select("fp", "row", "key", F.coalesce("component", "key").alias("part"))
-    parted = stage(parted, "parted")
-    rest = _verified(_links(parted, run), nodes, docs, id_col, text_col, width)
-    return _named(prints, nodes, connected_components(first.union(rest)))
+        first = _verified(put, _links(nodes, run), nodes, docs, id_col, text_col, width)
+        joined = connected_components(first)
+        parted = nodes.join(joined, nodes["key"] == joined["node"], "left").select("fp", "row", "key", F.coalesce("component", "key").alias("part"))
+        parted = put(parted, "parted")
+        rest = _verified(put, _links(parted, run), nodes, docs, id_col, text_col, width)
+        return stage(_named(prints, nodes, connected_components(first.union(rest))), "near-copies")
 
 
 def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -308,9 +308,14 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     Rows are told apart by id and text: of an id with several texts, each row
     goes or stays by its own group. Rows with null ids and further rows with the
-    id that stands for their group are kept.
+    id that stands for their group are kept, so exact repetitions of a row go or
+    stay together. Null and empty texts have no words and are copies of each
+    other: of them the one with the smallest id stays. Other columns are returned
+    unchanged, whatever their names; no rows give no rows.
     """
     groups = near_copies(docs, id_col, text_col, width, words, radius)
-    gone = groups.where("id <> component").select(*(F.col(k).alias(f"_gone{k}") for k in KEY)).distinct()
-    k1, k2 = _row_key(docs[id_col], text_or_empty(docs, text_col))
-    return docs.join(gone, (k1 == F.col("_gonek1")) & (k2 == F.col("_gonek2")), "left_anti")
+    gone = stage(groups.where("id <> component").select(*KEY).distinct(), "gone")
+    few = gone.count() <= BROADCAST_KEYS
+    keys = (k.alias(n) for k, n in zip(_row_key(docs[id_col], text_or_empty(docs, text_col)), KEY, strict=True))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), *keys).join(F.broadcast(gone) if few else gone, KEY, "left_anti")
+    return rows.select(*(F.col("row")[c].alias(c) for c in docs.columns))
