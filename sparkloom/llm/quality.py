@@ -90,39 +90,41 @@ def _fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None, hidd
     return {"mean": mean, "scale": scale, "w": average}
 
 
-def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray, share: float | None = None) -> float:
+def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray, folds: int = 4) -> float:
     """Share of positives among unlabelled rows: the least ratio, over all score
     thresholds, of unlabelled to positive rows above it. Negatives only add to
     the numerator, so the ratio comes down to the prior where few are left; a
-    margin for chance keeps thresholds with few rows out.
+    margin for chance keeps thresholds with few rows out. Every row is scored by
+    a model that was fitted without its fold.
 
-    The ratio errs upwards, the more the fewer rows there are. ``share``, that
-    of positives among labelled rows, replaces it if it lies below by no more
-    than the margin; labels drawn unlike the text lie further off.
+    The ratio errs upwards, the more the fewer rows there are, so two of its
+    standard errors are taken off.
     """
     rng = np.random.default_rng(3)
-    positive, unlabelled = rng.permutation(positive), rng.permutation(unlabelled)  # halves alike whatever the order
-    half_p, half_u = len(positive) // 2, len(unlabelled) // 2
-    model = _fit(positive[:half_p], unlabelled[:half_u], None)
-    sp, su = (np.sort(posterior(model, x)) for x in (positive[half_p:], unlabelled[half_u:]))
+    sides = [(x, rng.permutation(len(x)) % folds) for x in (positive, unlabelled)]  # folds alike whatever the order
+    scores = [np.empty(len(x)) for x, _ in sides]
+    for k in range(folds):
+        model = _fit(*(x[fold != k] for x, fold in sides), None)
+        for out, (x, fold) in zip(scores, sides, strict=True):
+            out[fold == k] = posterior(model, x[fold == k])
+    sp, su = map(np.sort, scores)
     cuts = np.quantile(sp, np.linspace(0, 0.9, 91))
     over_p = 1 - np.searchsorted(sp, cuts) / len(sp)
     over_u = 1 - np.searchsorted(su, cuts) / len(su)
     margin = np.sqrt(np.log(40) / 2) * (1 / np.sqrt(len(sp)) + 1 / np.sqrt(len(su)))
     best = np.argmin((over_u + margin) / over_p)
-    ratio = over_u[best] / over_p[best]
-    if share is not None and ratio - margin <= share < ratio:
-        ratio = share
-    return float(np.clip(ratio, 0.02, 0.98))
+    ratio = min(over_u[best] / over_p[best], 1.0)
+    error = np.sqrt(ratio * (1 - ratio) * (1 / len(sp) + 1 / len(su)))
+    return float(np.clip(ratio - 2 * error, 0.02, 0.98))
 
 
-def fit_pu(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None = None, share: float | None = None) -> dict:
+def fit_pu(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None = None) -> dict:
     """The model that minimises the non-negative unbiased risk; the class prior
     is estimated where none is given. Without rows of both kinds, every score is
     the prior, or 0.5."""
     if len(positive) < 20 or len(unlabelled) < 20:
         return {"constant": 0.5 if prior is None else prior}
-    prior = estimate_prior(positive, unlabelled, share) if prior is None else prior
+    prior = estimate_prior(positive, unlabelled) if prior is None else prior
     return _fit(positive, unlabelled, prior) | {"prior": prior}
 
 
@@ -138,13 +140,14 @@ def fit_quality(docs: DataFrame, labels: DataFrame, trusted, id_col: str = "doc_
                 label_col: str = "quality", sample: int = 12_000, prior: float | None = None) -> dict:
     """The fitted model. Trusted positives are documents with label 1 in ``labels``
     for which the column ``trusted`` (over ``id``) holds; unlabelled text is
-    every document without a row in ``labels``, or all documents if fewer than
-    1,000 are without. Up to ``sample`` documents of each kind are used, those
-    with the smallest hash of their id; only their features reach the driver.
-
-    Rows with a null id never train. Repeated labels of an id count once, as
-    positive only if all say 1. Without enough rows of both kinds, every score
-    is ``prior``, or 0.5.
+    that of all documents, whether labels name them or not. Up to ``sample``
+    documents of each kind are used, those with the smallest hash of their id;
+    only their features reach the driver.
+
+    Rows with a null id never train; of rows with one id, the least text does,
+    null counting as empty. Repeated labels of an id count once, as positive only
+    if all say 1. Other columns are ignored, whatever their names. Without enough
+    rows of both kinds, as of empty tables, every score is ``prior``, or 0.5.
     """
     ship(docs.sparkSession)
     ids = docs.select(docs[id_col].cast("long").alias("id")).where("id is not null").distinct()
@@ -158,14 +161,12 @@ def fit_quality(docs: DataFrame, labels: DataFrame, trusted, id_col: str = "doc_
 
     def drawn(rows: DataFrame) -> np.ndarray:
         few = rows.select("id", F.xxhash64("id", F.lit(11)).alias("o")).orderBy("o", "id").limit(sample).select("id")
-        texts = narrow.join(F.broadcast(few), "id").select("t")  # ``sample`` ids at most
-        got = texts.mapInArrow(run, "x array<float>").limit(2 * sample).toPandas()["x"]
+        texts = narrow.join(F.broadcast(few), "id").groupBy("id").agg(F.min("t").alias("t")).select("t")  # ``sample`` ids at most
+        got = texts.mapInArrow(run, "x array<float>").toPandas()["x"]
         return np.array(got.tolist(), np.float64).reshape(len(got), len(NAMES))
 
-    share = known.where(trusted).agg(F.avg((F.col("y") == 1).cast("double"))).first()[0]
     positive = drawn(ids.join(known.where("y = 1").where(trusted), "id", "left_semi"))
-    unlabelled = drawn(ids.join(known, "id", "left_anti"))
-    return fit_pu(positive, unlabelled if len(unlabelled) >= 1000 else drawn(ids), prior, share)
+    return fit_pu(positive, drawn(ids), prior)
 
 
 def _scores(model: dict, texts: list[str]) -> np.ndarray:
@@ -189,7 +190,9 @@ def quality_scores(docs: DataFrame, model: dict, id_col: str = "doc_id", text_co
 
 
 def quality_filter(docs: DataFrame, model: dict, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` with a score of ``threshold`` or more, unchanged."""
+    """The rows of ``docs`` with a score of ``threshold`` or more, unchanged, with
+    all columns, whatever their names. Null text has the score of the empty text;
+    repeated rows go or stay together; no rows give no rows."""
     ship(docs.sparkSession)
     at = docs.columns.index(text_col)
 
