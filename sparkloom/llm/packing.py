@@ -14,6 +14,8 @@ from .common import stage, text_or_empty
 
 BUCKETS, DIMS, BITS = 256, 4, 12
 TOKENS_A_PARTITION = 4_000_000
+#: Most tokens of a document in one row between the stages.
+CHUNK = 1 << 15
 
 
 def hilbert_key(cells: np.ndarray, bits: int = BITS) -> np.ndarray:
@@ -62,19 +64,23 @@ def _tokenised(docs: DataFrame, path: str, id_col: str, text_col: str, end_id: i
     def run(batches):
         model = tokens.load(path)
         kind = "<u2" if max(model.n_vocab, end_id) <= 1 << 16 else "<u4"
+        salt = np.random.default_rng(TaskContext.get().partitionId())
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 ids = [np.append(tokens.encode(model, t), np.uint32(end_id)) for t in part.column(1).to_pylist()]
                 key = hilbert_key(np.stack([document_cell(x, directions) for x in ids]))
+                tie = salt.integers(0, 1 << 62, len(ids))
+                cuts = [(k, s) for k, x in enumerate(ids) for s in range(0, len(x), CHUNK)]
+                row = pa.array([k for k, _ in cuts], pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(key), pa.array([len(x) for x in ids], pa.int64()),
-                     pa.array([x.astype(kind).tobytes() for x in ids], pa.binary())],
-                    names=["id", "key", "n", "ids"],
+                    [part.column(0).take(row), pa.array(key).take(row), pa.array(tie).take(row), pa.array([len(x) for x in ids], pa.int64()).take(row),
+                     pa.array([s for _, s in cuts], pa.int64()), pa.array([ids[k][s : s + CHUNK].astype(kind).tobytes() for k, s in cuts], pa.binary())],
+                    names=["id", "key", "tie", "n", "start", "ids"],
                 )
 
     narrow = docs.select(docs[id_col].cast("long").alias("id"), text_or_empty(docs, text_col).alias("t"))
-    return narrow.mapInArrow(run, "id long, key long, n long, ids binary")
+    return narrow.mapInArrow(run, "id long, key long, tie long, n long, start long, ids binary")
 
 
 def pack(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text",
@@ -85,11 +91,13 @@ def pack(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_
 
     Documents are range-sorted by their Hilbert key, so that neighbours on the
     curve share sequences, and laid end to end within each range; every
-    sequence is full but the last of each range. Ranges are split by key and a
-    hash of the document, so copies with one key spread over several ranges,
-    and they hold some millions of tokens, so that what the last sequences
-    leave open stays far below one per cent. Sequence ids are unique, not
-    consecutive. Lost tasks are repeated from the staged table of token ids.
+    sequence is full but the last of each range. Rows of one key are ordered by
+    a number drawn for each document when it is tokenised, so that copies spread
+    over several ranges even if they share their id, and long documents move in
+    rows of CHUNK tokens. Ranges hold some millions of tokens, so that what the
+    last sequences leave open stays far below one per cent. Sequence ids are
+    unique, not consecutive. Lost tasks are repeated from the staged table of
+    token ids, which also holds the drawn numbers.
 
     Null text counts as empty; an empty document is its end id alone. Repeated
     rows and ids are packed each; rows with null ids are packed too; other
@@ -97,23 +105,23 @@ def pack(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_
     """
     ship(docs.sparkSession)
     coded = stage(_tokenised(docs, path or tokens.default_path(), id_col, text_col, end_id), "tokens")
-    total = coded.agg(F.sum("n")).first()[0] or 0
+    total = coded.where("start = 0").agg(F.sum("n")).first()[0] or 0
     ranges = max(1, -(-total // TOKENS_A_PARTITION))
-    tie = F.xxhash64("id", "n")
-    dealt = coded.withColumn("tie", tie).repartitionByRange(ranges, "key", "tie")
+    dealt = coded.repartitionByRange(ranges, "key", "tie", "start")
 
     def run(batches):
         at, sequence = 0, TaskContext.get().partitionId() << 32
         for batch in batches:
             rows = []
-            for doc, n, ids in zip(*(batch.column(k).to_pylist() for k in (0, 1, 2)), strict=True):
+            for doc, n, begin, ids in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+                here = min(CHUNK, n - begin)
+                ids = np.frombuffer(ids, f"<u{len(ids) // here}").astype("<u4").tobytes()
                 start = 0
-                ids = np.frombuffer(ids, f"<u{len(ids) // n}").astype("<u4").tobytes()
-                while start < n:
+                while start < here:
                     if at == length:
                         at, sequence = 0, sequence + 1
-                    size = min(n - start, length - at)
-                    rows.append((doc, start, size, ids[4 * start : 4 * (start + size)], n, sequence, at))
+                    size = min(here - start, length - at)
+                    rows.append((doc, begin + start, size, ids[4 * start : 4 * (start + size)], n, sequence, at))
                     start, at = start + size, at + size
             if rows:
                 yield pa.RecordBatch.from_arrays(
@@ -123,7 +131,7 @@ def pack(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_
     kinds = {"doc_id": "int64", "start": "int64", "length": "int64", "ids": "binary", "doc_tokens": "int64",
              "sequence_id": "int64", "offset": "int64"}
     fields = pa.schema([(k, getattr(pa, v)()) for k, v in kinds.items()])
-    ordered = dealt.sortWithinPartitions("key", "tie").select("id", "n", "ids")
+    ordered = dealt.sortWithinPartitions("key", "tie", "start").select("id", "n", "start", "ids")
     return ordered.mapInArrow(
         run, "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
     )
