@@ -43,6 +43,30 @@ def pounds(c: Column) -> Column:
     return F.when(t.rlike(pattern), F.round(number * factor, 2))
 
 
+def pounds_lenient(c: Column) -> Column:
+    """The first number with a unit anywhere in the text as pounds to two digits,
+    or the first number of all as pounds; null without a number."""
+    t, pattern = F.lower(c), r"([0-9]+(?:\.[0-9]+)?)\s*(lbs?|kg|grams?|g|oz|ounces?|pounds?)\b"
+    number, unit = F.regexp_extract(t, pattern, 1), F.substring(F.regexp_extract(t, pattern, 2), 1, 1)
+    factor = F.when(unit.isin("l", "p"), 1.0).when(unit == "k", POUNDS["kg"]).when(unit == "g", POUNDS["g"]).otherwise(POUNDS["oz"])
+    bare = F.regexp_extract(t, r"([0-9]+(?:\.[0-9]+)?)", 1)
+    return F.when(number != "", F.round(number.try_cast("double") * factor, 2)).when(bare != "", F.round(bare.try_cast("double"), 2))
+
+
+def text_key(c: Column) -> Column:
+    """Trimmed, with single blanks; null where nothing is left."""
+    t = F.trim(F.regexp_replace(c, r"\s+", " "))
+    return F.when(t != "", t)
+
+
+def price_key(c: Column) -> Column:
+    """A number without separators and trailing zeros as text; other text
+    trimmed; null where nothing is left."""
+    t = F.trim(c)
+    plain = F.replace(t, F.lit(","), F.lit(""))
+    return F.when(plain.rlike(r"^-?[0-9]+(\.[0-9]+)?$"), F.round(plain.try_cast("double"), 6).cast("string")).when(t != "", t)
+
+
 def pack_count(c: Column) -> Column:
     """Unsigned whole number without leading zeros, else null."""
     t = F.trim(c)

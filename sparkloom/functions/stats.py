@@ -33,5 +33,14 @@ def wilson(successes: Column, total: Column, z: float = 1.96) -> dict[str, Colum
     }
 
 
+def z_value(level: Column) -> Column:
+    """Quantile of the normal distribution for a two-sided level; a level above 1
+    is a quantile already."""
+    return (
+        F.when(level > 1, level).when(level >= 0.99, 2.576).when(level >= 0.95, 1.96).when(level >= 0.90, 1.645)
+        .when(level >= 0.80, 1.282).otherwise(1.96)
+    )
+
+
 def confidence_bin(confidence: Column, bins: int = 10) -> Column:
     return F.least(F.lit(bins - 1), F.floor(confidence * bins).cast("int"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Words that carry no meaning.
+#: Words that carry no meaning.
 STOP_WORDS = ("the", "and", "for", "with", "from", "this", "that", "was", "are")
 
 
@@ -24,7 +24,8 @@ def redact(c: Column) -> Column:
     """Credentials and addresses masked."""
     c = F.regexp_replace(c, r"(?i)(password|token|secret|api_?key)([\"']? *[:=] *[\"']?)[A-Za-z0-9+/_.=-]{6,}", "$1$2***")
     c = F.regexp_replace(c, "AKIA[A-Z0-9]{16}", "AKIA***")
-    return F.regexp_replace(c, r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "***@***")
+    # a run of letters is tried once, at its start or where the last match ended
+    return F.regexp_replace(c, r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", "***@***")
 
 
 def canonical_hash(*columns: Column) -> Column:

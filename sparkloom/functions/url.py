@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Parameters that name a visit and not a page.
-TRACKING = ("utm_source", "utm_medium", "utm_campaign", "ref", "gclid", "fbclid")
-#: Parameters that choose a variant of a page.
-VARIANT = ("variant", "sku", "page")
-#: Second levels under which names are registered.
+#: Parameters that name a visit and not a page, and the prefix of others.
+TRACKING, TRACKING_PREFIX = ("gclid", "fbclid", "msclkid", "gbraid", "wbraid", "dclid"), "utm_"
+#: Parameters that choose a variant of a page, and the prefixes of others.
+VARIANT, VARIANT_PREFIXES = ("variant", "variation_id", "sku"), ("attribute_", "option")
+#: Common second levels under which names are registered.
 SECOND_LEVEL = ("co", "com", "org", "net", "ac")
 
 
@@ -22,20 +22,48 @@ def path(u: Column) -> Column:
     return F.regexp_replace(p, "/+$", "")
 
 
-def query(u: Column, drop: tuple[str, ...]) -> Column:
-    """The sorted parameters but for those named."""
+def _name(part: Column) -> Column:
+    return F.regexp_extract(part, "^([^=]*)", 1)
+
+
+def tracking(part: Column) -> Column:
+    name = F.lower(_name(part))
+    return name.isin(*TRACKING) | name.startswith(TRACKING_PREFIX)
+
+
+def variant(part: Column) -> Column:
+    name = F.lower(_name(part))
+    found = name.isin(*VARIANT)
+    for p in VARIANT_PREFIXES:
+        found = found | name.startswith(p)
+    return found
+
+
+def query(u: Column, drop) -> Column:
+    """The parameters for which ``drop`` does not hold, by name and then value."""
     parts = F.split(F.regexp_extract(u, r"\?([^#]*)", 1), "&")
-    kept = F.filter(parts, lambda x: (x != "") & ~F.regexp_extract(x, "^([^=]*)", 1).isin(*drop))
-    return F.array_join(F.array_sort(kept), "&")
+    kept = F.filter(parts, lambda x: (x != "") & ~drop(x))
+    pairs = F.array_sort(F.transform(kept, lambda x: F.struct(_name(x).alias("k"), x.alias("x"))))
+    return F.array_join(F.transform(pairs, lambda p: p["x"]), "&")
 
 
-def identity_key(u: Column, drop: tuple[str, ...] = TRACKING) -> Column:
-    q = query(u, drop)
-    return F.concat(host(u), path(u), F.when(q != "", F.concat(F.lit("?"), q)).otherwise(""))
+def identity_key(u: Column, drop=tracking) -> Column:
+    """The address of a page: scheme and host in lower case without a default
+    port, the path as it stands, sorted parameters without those of tracking, and
+    a fragment. Anything but http and https stays as it is."""
+    scheme = F.lower(F.regexp_extract(u, "^([a-zA-Z]+)://", 1))
+    at = F.lower(F.regexp_extract(u, r"^[a-zA-Z]+://([^/?#]+)", 1))
+    at = F.when(scheme == "http", F.regexp_replace(at, ":80$", "")).otherwise(F.regexp_replace(at, ":443$", ""))
+    place = F.regexp_extract(u, r"^[a-zA-Z]+://[^/?#]+([^?#]*)", 1)
+    q, fragment = query(u, drop), F.regexp_extract(u, "#(.*)$", 1)
+    some = lambda sign, x: F.when(x != "", F.concat(F.lit(sign), x)).otherwise("")
+    whole = F.concat(scheme, F.lit("://"), at, F.when(place == "", "/").otherwise(place), some("?", q), some("#", fragment))
+    return F.when(scheme.isin("http", "https"), whole).otherwise(u)
 
 
 def parent_key(u: Column) -> Column:
-    return identity_key(u, TRACKING + VARIANT)
+    """``identity_key`` without the parameters that choose a variant."""
+    return identity_key(u, lambda x: tracking(x) | variant(x))
 
 
 def registrable_domain(h: Column) -> Column:

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def leader_clusters(df: DataFrame, block: str, order: str, members: str, least: float) -> DataFrame:
     """(order, leader): rows of a block in order join the first leader whose set
     has a Jaccard similarity of ``least`` or more, else lead a cluster of their
-    own. Blocks are independent, so the work is spread by block; within one, only
-    the leaders' sets are held."""
+    own. Equal sets of a block are one row before they meet in a task, as the
+    first of them decides for all; blocks are independent and spread by key. A
+    task holds the distinct sets of a block, however many rows have them."""
     key = df.schema[order].dataType.simpleString()
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -27,4 +29,8 @@ def leader_clusters(df: DataFrame, block: str, order: str, members: str, least:
                 out.append(k)
         return pd.DataFrame({order: sorted(pdf[order]), "leader": out})
 
-    return df.select(block, order, members).groupBy(block).applyInPandas(run, f"{order} {key}, leader {key}")
+    sets = df.select(block, order, F.array_sort(members).alias("_set"))
+    first = sets.groupBy(block, "_set").agg(F.min(order).alias(order))
+    led = first.select(block, order, F.col("_set").alias(members)).groupBy(block).applyInPandas(run, f"{order} {key}, leader {key}")
+    named = first.join(led, order).select(block, "_set", "leader")
+    return sets.join(named, [block, "_set"]).select(order, "leader")

@@ -41,7 +41,7 @@ def sync_plan(current: DataFrame, desired: DataFrame, key: str, digest: str, sta
 def digest(df: DataFrame, columns: list[str], name: str) -> DataFrame:
     """One row that two tables share, in whatever order, if their rows are the
     same: count, exclusive or and a modular sum of 60-bit row hashes."""
-    row = F.concat_ws("|", *(F.col(c).cast("string") for c in columns))
+    row = F.concat_ws("|", *(F.coalesce(F.col(c).cast("string"), F.lit("\\N")) for c in columns))
     h = F.conv(F.substring(F.sha2(row, 256), 1, 15), 16, 10).cast("long")
     return df.select(h.alias("h")).agg(
         F.lit(name).alias("tbl"), F.count("*").alias("n_rows"), F.bit_xor("h").alias("x"), F.sum(F.col("h") % 1000003).alias("s")

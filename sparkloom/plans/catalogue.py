@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import decisions, metrics, relational, scalar, similarity, streams
+from . import decisions, merging, metrics, relational, scalar, similarity, streams
 
-MODULES = (relational, metrics, scalar, similarity, streams, decisions)
+MODULES = (relational, metrics, scalar, similarity, streams, decisions, merging)
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLE_SQL = {name: sql for m in MODULES for name, sql in m.ORACLE_SQL.items()}

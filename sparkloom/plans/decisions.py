@@ -48,12 +48,12 @@ def q_gtin_join(spark, sf_dir):
 
 
 @R.query(r"""
-    WITH c AS (SELECT DISTINCT regexp_extract(url, '([0-9]{2,})', 1) AS code FROM pages WHERE page_id % 5 = 0 AND regexp_matches(url, '[0-9]{2,}')),
+    WITH c AS (SELECT DISTINCT regexp_extract(url, '([0-9]{2,})', 1) AS code FROM pages WHERE regexp_matches(url, '[0-9]{2,}')),
          d AS (SELECT page_id, unnest(list_distinct(regexp_extract_all(url, '[0-9]{2,}'))) AS code FROM pages)
     SELECT d.page_id, max(d.code) AS code, count(*) AS hits FROM d JOIN c ON c.code = d.code GROUP BY 1""")
 def q_code_in_url(spark, sf_dir):
     p = load(spark, sf_dir, "pages")
-    codes = p.where("page_id % 5 = 0").select(F.regexp_extract("url", "([0-9]{2,})", 1).alias("code")).where("code <> ''").distinct()
+    codes = p.select(F.regexp_extract("url", "([0-9]{2,})", 1).alias("code")).where("code <> ''").distinct()
     found = p.select("page_id", F.explode(F.array_distinct(F.regexp_extract_all("url", F.lit("([0-9]{2,})")))).alias("code"))
     return found.join(codes, "code").groupBy("page_id").agg(F.max("code").alias("code"), F.count("*").alias("hits"))
 
@@ -82,14 +82,14 @@ def q_field_select(spark, sf_dir):
 
 
 @R.query("""
-    WITH m AS (SELECT p_brand || '/' || p_type AS family, p_partkey, p_size, p_retailprice FROM part WHERE p_partkey % 3 = 0),
+    WITH m AS (SELECT p_brand || '/' || p_type AS family, p_partkey, p_size, p_retailprice FROM part),
          g AS (SELECT family, count(*) AS n, count(*) FILTER (p_size <= 0) AS unknown, count(*) - count(DISTINCT p_size) AS repeated,
                       max(p_retailprice) - min(p_retailprice) AS spread, min(p_size * 1000000 + p_partkey) % 1000000 AS main FROM m GROUP BY 1)
     SELECT family, CASE WHEN n < 2 THEN 'too_few' WHEN unknown > 0 THEN 'unknown_size' WHEN repeated > 0 THEN 'duplicate_tuple' WHEN spread > 900 THEN 'price_spread' ELSE 'ok' END AS verdict,
            CASE WHEN unknown = 0 THEN main END AS main FROM g""")
 def q_family_rule(spark, sf_dir):
     size, key = F.col("p_size"), F.col("p_partkey")
-    g = load(spark, sf_dir, "part").where("p_partkey % 3 = 0").groupBy(F.concat_ws("/", "p_brand", "p_type").alias("family")).agg(
+    g = load(spark, sf_dir, "part").groupBy(F.concat_ws("/", "p_brand", "p_type").alias("family")).agg(
         F.count("*").alias("n"), F.count_if(size <= 0).alias("unknown"), (F.count("*") - F.count_distinct(size)).alias("repeated"),
         (F.max("p_retailprice") - F.min("p_retailprice")).alias("spread"), F.min_by(key, F.struct(size, key)).alias("main"),
     )
@@ -115,14 +115,14 @@ def q_conflicts(spark, sf_dir):
 
 @R.query("""
     WITH s AS (SELECT user_id, bool_or(event_type = 'view') AS a, bool_or(event_type = 'click') AS b, bool_or(event_type = 'purchase') AS c, bool_or(event_type = 'error') AS e
-               FROM events WHERE ts < TIMESTAMP '2024-01-03' GROUP BY 1)
+               FROM events GROUP BY 1)
     SELECT count(*) AS users, count(*) FILTER (a) AS viewed, count(*) FILTER (a AND b) AS clicked, count(*) FILTER (a AND b AND c) AS bought,
            CASE WHEN count(*) FILTER (a) > 0 THEN round(count(*) FILTER (a AND b) / count(*) FILTER (a)::DOUBLE, 6) END AS click_rate,
            CASE WHEN count(*) FILTER (a AND b) > 0 THEN round(count(*) FILTER (a AND b AND c) / count(*) FILTER (a AND b)::DOUBLE, 6) END AS buy_rate,
            count(*) FILTER (e AND NOT c) AS lost FROM s""")
 def q_funnel(spark, sf_dir):
     did = lambda t: F.bool_or(F.col("event_type") == t)
-    s = load(spark, sf_dir, "events").where("ts < timestamp'2024-01-03'").groupBy("user_id").agg(
+    s = load(spark, sf_dir, "events").groupBy("user_id").agg(
         did("view").alias("a"), did("click").alias("b"), did("purchase").alias("c"), did("error").alias("e")
     )
     a, b, c, e = (F.col(x) for x in "abce")
@@ -160,11 +160,13 @@ def q_value_mode(spark, sf_dir):
 
 
 @R.query("""
-    WITH p AS (SELECT doc_id % 300 AS example, min(doc_id) AS first FROM documents WHERE lang = 'en' GROUP BY 1)
-    SELECT l.doc_id, coalesce(p.first, -1) AS predicted_by FROM labels l LEFT JOIN p ON p.example = l.doc_id WHERE l.doc_id < 300""")
+    WITH p AS (SELECT source, min(doc_id) AS first FROM documents WHERE lang = 'en' GROUP BY 1)
+    SELECT l.doc_id, coalesce(p.first, -1) AS predicted_by FROM labels l JOIN documents d ON d.doc_id = l.doc_id LEFT JOIN p ON p.source = d.source""")
 def q_first_wins(spark, sf_dir):
-    first = load(spark, sf_dir, "documents").where("lang = 'en'").groupBy((F.col("doc_id") % 300).alias("doc_id")).agg(F.min("doc_id").alias("predicted_by"))
-    return load(spark, sf_dir, "labels").where("doc_id < 300").join(first, "doc_id", "left").select("doc_id", F.coalesce("predicted_by", F.lit(-1)).alias("predicted_by"))
+    docs = load(spark, sf_dir, "documents").select("doc_id", "source", "lang")
+    first = docs.where("lang = 'en'").groupBy("source").agg(F.min("doc_id").alias("predicted_by"))
+    gold = load(spark, sf_dir, "labels").select("doc_id").join(docs, "doc_id")
+    return gold.join(first, "source", "left").select("doc_id", F.coalesce("predicted_by", F.lit(-1)).alias("predicted_by"))
 
 
 @R.query("""
@@ -179,11 +181,10 @@ def q_version_sequence(spark, sf_dir):
         UNION ALL SELECT s.s_suppkey, t.root, t.depth + 1 FROM supplier s JOIN t ON (s.s_suppkey - 3) // 3 = t.id AND s.s_suppkey >= 3)
     SELECT id, root, depth::INTEGER AS depth FROM t""")
 def q_tree_closure(spark, sf_dir):
-    load(spark, sf_dir, "supplier").createOrReplaceTempView("closure_nodes")
     return spark.sql("""
-        WITH RECURSIVE t(id, root, depth) AS (SELECT s_suppkey, s_suppkey, 0 FROM closure_nodes WHERE s_suppkey < 3
-            UNION ALL SELECT s.s_suppkey, t.root, t.depth + 1 FROM closure_nodes s JOIN t ON (s.s_suppkey - 3) DIV 3 = t.id AND s.s_suppkey >= 3)
-        SELECT id, root, depth FROM t""")
+        WITH RECURSIVE t(id, root, depth) AS (SELECT s_suppkey, s_suppkey, 0 FROM {nodes} WHERE s_suppkey < 3
+            UNION ALL SELECT s.s_suppkey, t.root, t.depth + 1 FROM {nodes} s JOIN t ON (s.s_suppkey - 3) DIV 3 = t.id AND s.s_suppkey >= 3)
+        SELECT id, root, depth FROM t""", nodes=load(spark, sf_dir, "supplier"))
 
 
 @R.query("""
@@ -198,14 +199,15 @@ def q_difference_hash(spark, sf_dir):
 
 @R.query("""
     WITH h AS (SELECT source AS domain, count(*) FILTER (doc_id % 2 = 0) AS previous, count(*) FILTER (doc_id % 2 = 1 AND n_chars > 800) AS current FROM documents GROUP BY 1)
-    SELECT domain, previous, current, CASE WHEN current = 0 THEN 'missing' WHEN previous > 10 AND current < 0.5 * previous THEN 'drop' WHEN previous > 5 AND current > 1.2 * previous THEN 'growth' ELSE 'healthy' END AS health FROM h""")
+    SELECT domain, previous, current, CASE WHEN current = 0 THEN 'zero_product_urls' WHEN previous > 50 AND current < 0.5 * previous THEN 'large_url_drop'
+        WHEN previous > 20 AND current > 3 * previous THEN 'large_url_spike' ELSE 'healthy' END AS health FROM h""")
 def q_source_health(spark, sf_dir):
     k = F.col("doc_id") % 2
     h = load(spark, sf_dir, "documents").groupBy(F.col("source").alias("domain")).agg(
         F.count_if(k == 0).alias("previous"), F.count_if((k == 1) & (F.col("n_chars") > 800)).alias("current")
     )
     p, c = F.col("previous"), F.col("current")
-    health = F.when(c == 0, "missing").when((p > 10) & (c < 0.5 * p), "drop").when((p > 5) & (c > 1.2 * p), "growth").otherwise("healthy")
+    health = F.when(c == 0, "zero_product_urls").when((p > 50) & (c < 0.5 * p), "large_url_drop").when((p > 20) & (c > 3 * p), "large_url_spike").otherwise("healthy")
     return h.select("domain", "previous", "current", health.alias("health"))
 
 

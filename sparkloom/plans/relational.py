@@ -317,7 +317,8 @@ def q_keyset(spark, sf_dir):
 def q_first_later(spark, sf_dir):
     docs = load(spark, sf_dir, "documents").select("doc_id", F.md5("text").alias("h"))
     first = docs.groupBy("h").agg(F.min("doc_id").alias("first"))
-    return docs.join(first, "h").select("doc_id", F.when(F.col("doc_id") == F.col("first"), "accepted").otherwise("duplicate").alias("outcome"))
+    first = first.withColumnRenamed("h", "g")  # null texts are one group
+    return docs.join(first, F.col("h").eqNullSafe(F.col("g"))).select("doc_id", F.when(F.col("doc_id") == F.col("first"), "accepted").otherwise("duplicate").alias("outcome"))
 
 
 @R.query("SELECT min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY md5(text)")

@@ -42,18 +42,24 @@ _HOST = r"regexp_replace(lower(regexp_extract(url, '^[a-zA-Z]+://([^/?#]+)', 1))
 _PATH = r"regexp_replace(regexp_extract(url, '^[a-zA-Z]+://[^/?#]+([^?#]*)', 1), '/+$', '')"
 
 
-def _query_sql(drop):
-    names = ", ".join(f"'{d}'" for d in drop)
-    return (
-        r"array_to_string(list_sort(list_filter(string_split(regexp_extract(url, '\?([^#]*)', 1), '&'), lambda x: x <> '' AND "
-        rf"regexp_extract(x, '^([^=]*)', 1) NOT IN ({names}))), '&')"
-    )
+_NAME = "lower(regexp_extract(x, '^([^=]*)', 1))"
+_TRACKED = f"({_NAME} IN ('gclid', 'fbclid', 'msclkid', 'gbraid', 'wbraid', 'dclid') OR starts_with({_NAME}, 'utm_'))"
+_VARIED = f"({_NAME} IN ('variant', 'variation_id', 'sku') OR starts_with({_NAME}, 'attribute_') OR starts_with({_NAME}, 'option'))"
 
 
-@R.query(f"""
-    WITH p AS (SELECT page_id, {_HOST} AS h, {_PATH} AS p, {_query_sql(url.TRACKING)} AS q, {_query_sql(url.TRACKING + url.VARIANT)} AS pq FROM pages)
-    SELECT page_id, h || p || CASE WHEN q <> '' THEN '?' || q ELSE '' END AS identity_key,
-           h || p || CASE WHEN pq <> '' THEN '?' || pq ELSE '' END AS parent_key FROM p""")
+def _key_sql(drop):
+    """The address key in SQL, without the parameters ``x`` for which ``drop`` holds."""
+    kept = rf"list_filter(string_split(regexp_extract(url, '\?([^#]*)', 1), '&'), lambda x: x <> '' AND NOT {drop})"
+    q = rf"array_to_string(list_transform(list_sort(list_transform({kept}, lambda x: {{'k': regexp_extract(x, '^([^=]*)', 1), 'x': x}})), lambda p: p.x), '&')"
+    scheme, at = "lower(regexp_extract(url, '^([a-zA-Z]+)://', 1))", "lower(regexp_extract(url, '^[a-zA-Z]+://([^/?#]+)', 1))"
+    place, tail = "regexp_extract(url, '^[a-zA-Z]+://[^/?#]+([^?#]*)', 1)", "regexp_extract(url, '#(.*)$', 1)"
+    return rf"""CASE WHEN {scheme} IN ('http', 'https') THEN {scheme} || '://'
+        || CASE WHEN {scheme} = 'http' THEN regexp_replace({at}, ':80$', '') ELSE regexp_replace({at}, ':443$', '') END
+        || CASE WHEN {place} = '' THEN '/' ELSE {place} END || CASE WHEN {q} <> '' THEN '?' || {q} ELSE '' END
+        || CASE WHEN {tail} <> '' THEN '#' || {tail} ELSE '' END ELSE url END"""
+
+
+@R.query(f"SELECT page_id, {_key_sql(_TRACKED)} AS identity_key, {_key_sql(f'({_TRACKED} OR {_VARIED})')} AS parent_key FROM pages")
 def q_url_identity(spark, sf_dir):
     u = F.col("url")
     return load(spark, sf_dir, "pages").select("page_id", url.identity_key(u).alias("identity_key"), url.parent_key(u).alias("parent_key"))

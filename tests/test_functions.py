@@ -32,8 +32,9 @@ def test_small_identities(spark):
 
 
 @pytest.mark.parametrize("raw,key,parent", [
-    ("HTTPS://Shop.Example.co.uk:443/a/b/?utm_source=x&b=2&a=1#f", "shop.example.co.uk/a/b?a=1&b=2", "shop.example.co.uk/a/b?a=1&b=2"),
-    ("http://x.org/p.html?variant=3", "x.org/p.html?variant=3", "x.org/p.html"), ("nonsense", "", ""),
+    ("HTTPS://Shop.Example.co.uk:443/a/b/?utm_source=x&b=2&a=1&GCLID=7#f", "https://shop.example.co.uk/a/b/?a=1&b=2#f", "https://shop.example.co.uk/a/b/?a=1&b=2#f"),
+    ("http://x.org/p.html?variant=3&option1=red&attribute_size=L", "http://x.org/p.html?attribute_size=L&option1=red&variant=3", "http://x.org/p.html"),
+    ("http://x.org:443?a1=1&a=2#", "http://x.org:443/?a=2&a1=1", "http://x.org:443/?a=2&a1=1"), ("nonsense", "nonsense", "nonsense"),
 ])
 def test_url_keys(spark, raw, key, parent):
     assert one(spark, raw, url.identity_key) == key
