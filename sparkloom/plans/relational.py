@@ -442,9 +442,12 @@ def q_upsert(spark, sf_dir):
     WITH r AS (SELECT value AS v, count(*) AS n FROM (SELECT round(value) AS value FROM events) GROUP BY 1)
     SELECT v, n, round(n / sum(n) OVER (), 6) AS share, sum(n) OVER (ORDER BY v)::BIGINT AS running FROM r""")
 def q_reason_share(spark, sf_dir):
-    counts = load(spark, sf_dir, "events").groupBy(F.round("value").alias("v")).agg(F.count("*").alias("n"))
-    total = counts.agg(F.sum("n").alias("total"))  # one row
-    # at most one row for each rounded value, so a single ordered window is small
-    return counts.join(F.broadcast(total)).select(
-        "v", "n", F.round(F.col("n") / F.col("total"), 6).alias("share"), F.sum("n").over(Window.orderBy("v")).alias("running")
+    counts = load(spark, sf_dir, "events").groupBy(F.round("value").alias("v")).agg(F.count("*").alias("n")).withColumn("block", F.floor(F.col("v") / 256))
+    # sums run within blocks of 256 values; only one row for each block is ordered as a whole
+    blocks = counts.groupBy(F.col("block").alias("b")).agg(F.sum("n").alias("sum"))
+    before = F.coalesce(F.sum("sum").over(Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    blocks = blocks.select("b", before.alias("before"), F.sum("sum").over(Window.partitionBy()).alias("total"))
+    within = F.sum("n").over(Window.partitionBy("block").orderBy("v"))
+    return counts.join(blocks, F.col("block").eqNullSafe(F.col("b"))).select(
+        "v", "n", F.round(F.col("n") / F.col("total"), 6).alias("share"), (F.col("before") + within).alias("running")
     )
