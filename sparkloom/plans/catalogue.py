@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import decisions, merging, metrics, naming, relational, review, scalar, signals, similarity, streams
+from . import decisions, merging, metrics, naming, relational, review, scalar, search, signals, similarity, streams
 
-MODULES = (relational, metrics, scalar, similarity, streams, decisions, merging, naming, review, signals)
+MODULES = (relational, metrics, scalar, similarity, streams, decisions, merging, naming, review, signals, search)
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLE_SQL = {name: sql for m in MODULES for name, sql in m.ORACLE_SQL.items()}
