@@ -47,6 +47,25 @@ def _sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
+def gradients(w: list[np.ndarray], x: np.ndarray, batch: int, prior: float | None) -> list[np.ndarray]:
+    """Of the risk over ``batch`` positive rows followed by unlabelled ones: plain
+    logistic loss without a prior, else the non-negative unbiased risk, whose
+    negative part is driven up where it has fallen below zero."""
+    h = np.tanh(x @ w[0] + w[1])
+    g = h @ w[2] + w[3]
+    s = _sigmoid(g)
+    if prior is None:
+        d = np.concatenate((s[:batch] - 1, s[batch:])) / batch
+    else:
+        minus = np.concatenate((-prior * s[:batch], s[batch:])) / batch
+        plus = np.concatenate((prior * (s[:batch] - 1), np.zeros(len(x) - batch))) / batch
+        risk = np.logaddexp(0, g[batch:]).mean() - prior * np.logaddexp(0, g[:batch]).mean()
+        d = plus + minus if risk >= 0 else -minus
+    d = d.astype(w[2].dtype)
+    back = np.outer(d, w[2]) * (1 - h * h)
+    return [x.T @ back, back.sum(0), h.T @ d, np.array([d.sum()])]
+
+
 def _fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None, hidden: int = 16,
          steps: int = 1000, rate: float = 0.01, decay: float = 1e-4, batch: int = 768, seed: int = 7) -> dict:
     """One hidden layer, logistic loss, Adam, averaged weights.
@@ -67,19 +86,9 @@ def _fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None, hidd
     average = [x.copy() for x in w]
     for step in range(1, steps + 1):
         x = np.concatenate((p[rng.integers(0, len(p), batch)], u[rng.integers(0, len(u), batch)]))
-        h = np.tanh(x @ w[0] + w[1])
-        g = h @ w[2] + w[3]
-        s = _sigmoid(g)
-        if prior is None:
-            d = np.concatenate((s[:batch] - 1, s[batch:])) / batch
-        else:
-            minus = np.concatenate((-prior * s[:batch], s[batch:])) / batch
-            plus = np.concatenate((prior * (s[:batch] - 1), np.zeros(batch))) / batch
-            risk = np.logaddexp(0, g[batch:]).mean() - prior * np.logaddexp(0, g[:batch]).mean()
-            d = plus + minus if risk >= 0 else -minus
-        d = d.astype(np.float32)
-        back = np.outer(d, w[2]) * (1 - h * h)
-        grads = [x.T @ back + decay * w[0], back.sum(0), h.T @ d + decay * w[2], np.array([d.sum()])]
+        grads = gradients(w, x, batch, prior)
+        grads[0] += decay * w[0]
+        grads[2] += decay * w[2]
         now = rate * (0.1 if step > 0.7 * steps else 1)
         for k, grad in enumerate(grads):
             m, v = moments[k]
@@ -98,8 +107,11 @@ def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray, folds: int = 4)
     a model that was fitted without its fold.
 
     The ratio errs upwards, the more the fewer rows there are, so two of its
-    standard errors are taken off.
+    standard errors are taken off. A single row of a kind tells nothing: 0.5.
     """
+    folds = min(folds, len(positive), len(unlabelled))
+    if folds < 2:
+        return 0.5
     rng = np.random.default_rng(3)
     sides = [(x, rng.permutation(len(x)) % folds) for x in (positive, unlabelled)]  # folds alike whatever the order
     scores = [np.empty(len(x)) for x, _ in sides]
@@ -120,9 +132,9 @@ def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray, folds: int = 4)
 
 def fit_pu(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None = None) -> dict:
     """The model that minimises the non-negative unbiased risk; the class prior
-    is estimated where none is given. Without rows of both kinds, every score is
-    the prior, or 0.5."""
-    if len(positive) < 20 or len(unlabelled) < 20:
+    is estimated where none is given. Without a row of either kind, every score
+    is the prior, or 0.5."""
+    if not len(positive) or not len(unlabelled):
         return {"constant": 0.5 if prior is None else prior}
     prior = estimate_prior(positive, unlabelled) if prior is None else prior
     return _fit(positive, unlabelled, prior) | {"prior": prior}
@@ -156,13 +168,13 @@ def fit_quality(docs: DataFrame, labels: DataFrame, trusted, id_col: str = "doc_
 
     def run(batches):
         for batch in batches:
-            x = [features(t) for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float32()))], names=["x"])
+            x = [features(t) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x, pa.list_(pa.float32()))], names=["id", "x"])
 
     def drawn(rows: DataFrame) -> np.ndarray:
         few = rows.select("id", F.xxhash64("id", F.lit(11)).alias("o")).orderBy("o", "id").limit(sample).select("id")
-        texts = narrow.join(F.broadcast(few), "id").groupBy("id").agg(F.min("t").alias("t")).select("t")  # ``sample`` ids at most
-        got = texts.mapInArrow(run, "x array<float>").toPandas()["x"]
+        texts = narrow.join(F.broadcast(few), "id").groupBy("id").agg(F.min("t").alias("t"))  # ``sample`` ids at most
+        got = texts.mapInArrow(run, "id long, x array<float>").toPandas().sort_values("id")["x"]  # tasks end in any order
         return np.array(got.tolist(), np.float64).reshape(len(got), len(NAMES))
 
     positive = drawn(ids.join(known.where("y = 1").where(trusted), "id", "left_semi"))
