@@ -18,6 +18,8 @@ WEAK_SECRET = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+={0,2}"
 WEAK_ENDPOINT = r"""(?:https?|postgres(?:ql)?|mysql|redis|amqp|mongodb)://[^\s"'<>]+|(?<![A-Za-z0-9.-])[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++:[0-9]{2,5}"""
 #: Roles of the kinds: identifier, secret, endpoint.
 ROLES = {"assign": 1, "access": 0, "hex": 1, "id": 0, "secret": 1, "endpoint": 2}
+#: Of spans that overlap, one of a higher rank is no part: a link's path is no secret, and an identifier's value not its own.
+RANKS = {"assign": 0, "access": 0, "hex": 0, "endpoint": 1, "id": 2, "secret": 3}
 #: Two parts are near if fewer code points than this lie between them.
 SCOPE = 256
 #: Rows with spans up to which their table is broadcast; a larger one is joined by shuffles.
@@ -47,9 +49,11 @@ def _parts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def linked_spans(parts: DataFrame) -> DataFrame:
-    """(k1, k2, linked): the weak parts of each row that overlap no base span and
-    are near what complements them. An identifier needs a secret near it, a
-    secret an identifier or endpoint, an endpoint both of the others.
+    """(k1, k2, linked): the weak parts of each row that are near what complements
+    them. An identifier needs a secret near it, a secret an identifier or
+    endpoint, an endpoint both of the others. Weak spans that overlap a base span
+    are no parts, nor are identifiers that overlap an endpoint and secrets that
+    overlap either, so no part complements itself.
 
     Parts meet in buckets of SCOPE code points: each is sent to those it touches.
     A part that is near another touches the bucket of it or one beside, so for
@@ -61,7 +65,8 @@ def linked_spans(parts: DataFrame) -> DataFrame:
     role = F.get(F.array(*(F.lit(ROLES[k]) for k in KINDS)), F.col("p.kind"))
     bucket = lambda at: F.floor(at / SCOPE)
     rows = parts.where(F.size("weak") > 0).select(*KEY, "base", "weak").dropDuplicates(KEY)
-    weak = free(rows.select(*KEY, F.explode(F.concat("base", "weak")).alias("p")), KEY, F.col("p.kind") < 3)
+    rank = F.get(F.array(*(F.lit(RANKS[k]) for k in KINDS)), F.col("p.kind"))
+    weak = free(rows.select(*KEY, F.explode(F.concat("base", "weak")).alias("p")), KEY, rank, 4)
     inside = weak.union(rows.select(*KEY, F.explode("base").alias("p")))
     inside = inside.select(*KEY, "p", role.alias("role"), F.explode(F.sequence(bucket(F.col("p.start")), bucket(F.col("p.end") - 1))).alias("scope"))
     of = lambda r, x: F.when(F.col("role") == r, F.col(x))

@@ -72,16 +72,19 @@ def joined(spans: Column, names: tuple[str, ...]) -> Column:
     )
 
 
-def free(rows: DataFrame, keys: list[str], fixed: Column) -> DataFrame:
-    """The rows with a span ``p`` that are not ``fixed`` and overlap no fixed span
-    of their keys. Spans are swept by start from both sides, so that work does not
-    grow with their pairs."""
-    start = F.col("p.start")
+def free(rows: DataFrame, keys: list[str], rank: Column, ranks: int) -> DataFrame:
+    """The rows with a span ``p`` of a rank from 1 on that overlap no span of their
+    keys of a lower rank. Ranks are below ``ranks``. Spans are swept by start from
+    both sides, so that work does not grow with their pairs."""
+    start, own = F.col("p.start"), F.col("_rank")
     before = Window.partitionBy(*keys).orderBy(start).rangeBetween(Window.unboundedPreceding, Window.currentRow)
     behind = Window.partitionBy(*keys).orderBy(start.desc()).rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    ends, starts = F.max(F.when(fixed, F.col("p.end"))).over(before), F.min(F.when(fixed, start)).over(behind)
-    swept = rows.select("*", fixed.alias("_fixed"), ends.alias("_ends"), starts.alias("_starts"))
-    open_ = ~F.col("_fixed") & (F.coalesce("_ends", F.lit(0)) <= start) & (F.coalesce("_starts", F.col("p.end")) >= F.col("p.end"))
+    lower = range(ranks - 1)
+    swept = rows.withColumn("_rank", rank).select(
+        "*", *(F.max(F.when(own <= r, F.col("p.end"))).over(before).alias(f"_e{r}") for r in lower), *(F.min(F.when(own <= r, start)).over(behind).alias(f"_s{r}") for r in lower)
+    )
+    ends, starts = (F.get(F.array(*(f"_{c}{r}" for r in lower)), own - 1) for c in "es")
+    open_ = (own > 0) & (F.coalesce(ends, F.lit(0)) <= start) & (F.coalesce(starts, F.col("p.end")) >= F.col("p.end"))
     return swept.where(open_).select(*rows.columns)
 
 
