@@ -16,26 +16,32 @@ from .simhash import _Groups
 #: how many two vectors must share to be compared.
 DESCRIBED, LISTED, SHARED = 8, 3, 2
 MAX_PIVOTS = 4096
-#: Cosine that pivots stay below among each other.
-APART = 0.6
+#: Cosines that pivots stay below among each other, the first as long as that gives enough of them.
+APART = (0.6, 0.7, 0.8, 0.85, 0.9, 0.95, 2.0)
 LIST_BLOCK = 4096
 QUERY_BLOCK = 512
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
+    """Rows at length one, brought to a largest entry of one first, as squares of
+    very large or small entries leave the range of doubles."""
+    x = x / np.abs(x).max(axis=1, keepdims=True)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
 def apart(x: np.ndarray, most: int) -> np.ndarray:
-    """The first ``most`` rows that are not within APART of one before. Pivots
-    from one tight cluster would rank by noise, and near vectors would then
-    share few of them."""
-    kept = np.zeros((0, x.shape[1]))
-    for row in x:
-        if len(kept) == most:
-            break
-        if not len(kept) or (kept @ row).max() < APART:
-            kept = np.vstack((kept, row))
+    """Up to ``most`` rows that lie as far from each other as the rows allow: first
+    those that are not within the smallest cosine of APART of one before, then, as
+    long as there are too few, further ones by the next larger. Pivots of one tight
+    cluster rank by noise, and near vectors then share few of them; but a cluster
+    with a single pivot is one list."""
+    kept, open_ = np.zeros((0, x.shape[1])), np.ones(len(x), bool)
+    for limit in APART:
+        for k in np.flatnonzero(open_):
+            if len(kept) == most:
+                return kept
+            if not len(kept) or (kept @ x[k]).max() < limit:
+                kept, open_[k] = np.vstack((kept, x[k])), False
     return kept
 
 
@@ -77,9 +83,11 @@ def embedding_groups(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     """(id, n_links, component) per row of ``vectors``: rows linked directly, and
     the smallest id reachable.
 
-    Pivots are drawn from the distinct vectors with the smallest hashes, apart
-    from each other, up to two times the root of the number of distinct vectors
-    and between 16 and MAX_PIVOTS: the sample is bounded (2 * MAX_PIVOTS), and lists grow with the root of the input. Every vector is
+    Pivots are drawn from the distinct vectors with the smallest hashes, as far
+    from each other as ``apart`` finds them, two times the root of the number of
+    distinct vectors and between 16 and MAX_PIVOTS: the sample is bounded
+    (2 * MAX_PIVOTS), and lists grow with the root of the input up to MAX_PIVOTS
+    pivots and with the input beyond. Every vector is
     described by its DESCRIBED nearest pivots in order, and listed under the
     first LISTED. Each list is a group of work; lists longer than LIST_BLOCK
     are dealt into pairs of blocks. Equal vectors are one node with a weight.
@@ -98,7 +106,7 @@ def embedding_groups(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     sound = (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & (F.abs(x) < F.lit(float("inf"))) & ~F.isnan(x)) & F.exists(v, lambda x: x != 0)
     rows = rows.withColumn("sound", F.coalesce(sound, F.lit(False)))
     nodes = rows.where("sound").groupBy("v").agg(F.min("id").alias("low"), F.count("*").alias("weight"))
-    nodes = stage(nodes.withColumn("key", F.xxhash64("v")), "vectors")
+    nodes = stage(nodes.withColumn("key", F.monotonically_increasing_id()), "vectors")  # numbers, as two vectors may share a hash
     lengths = sorted(r[0] for r in nodes.select(F.size("v")).distinct().collect())  # one entry for each number of dimensions
     links, counts = None, None
     for dims in lengths:
@@ -111,12 +119,12 @@ def embedding_groups(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     linked = connected_components(links)
     total = counts.groupBy("key").agg(F.sum("n").alias("n"))
     named = nodes.join(linked, nodes["key"] == linked["node"], "left").join(total, "key", "left").select(
-        "key", "low", "weight", F.coalesce("component", "key").alias("label"), F.coalesce("n", F.lit(0)).alias("n")
+        "v", "low", "weight", F.coalesce("component", "key").alias("label"), F.coalesce("n", F.lit(0)).alias("n")
     )
     lowest = named.groupBy("label").agg(F.min("low").alias("component"))
-    classes = named.join(lowest, "label").select("key", "weight", "n", "component")
-    keyed = rows.select("id", F.when(F.col("sound"), F.xxhash64("v")).alias("key"))
-    return keyed.join(classes, "key", "left").select(
+    classes = named.join(lowest, "label").select("v", "weight", "n", "component")
+    keyed = rows.select("id", F.when(F.col("sound"), F.col("v")).alias("v"))
+    return keyed.join(classes, "v", "left").select(
         "id", F.coalesce(F.col("n") + F.col("weight") - 1, F.lit(0)).cast("long").alias("n_links"),
         F.when(F.col("weight").isNull(), F.col("id")).otherwise(F.col("component")).alias("component"),
     )
@@ -126,7 +134,7 @@ def _links(nodes: DataFrame, threshold: float, pivots: int | None) -> tuple[Data
     """Spanning links (src, dst) and weighted link counts (key, n) of vectors of
     one length."""
     m = pivots or int(np.clip(np.ceil(2 * np.sqrt(nodes.count())), 16, MAX_PIVOTS))
-    drawn = nodes.select("v", F.xxhash64("key", F.lit(5)).alias("h")).orderBy("h").limit(2 * m).toPandas()["v"]
+    drawn = nodes.select("v", F.xxhash64("v", F.lit(5)).alias("h")).orderBy("h").limit(2 * m).toPandas()["v"]
     points = apart(_unit(np.array(drawn.tolist(), np.float64)), m)
 
     def describe(batches):
@@ -142,7 +150,7 @@ def _links(nodes: DataFrame, threshold: float, pivots: int | None) -> tuple[Data
         F.ceil(F.count("*") / LIST_BLOCK).cast("int").alias("blocks")
     )  # one row for each pivot, MAX_PIVOTS at most
     every = F.sequence(F.lit(0), F.col("blocks") - 1)
-    dealt = listed.join(F.broadcast(sizes), "pivot").withColumn("block", F.pmod("key", "blocks").cast("int"))
+    dealt = listed.join(F.broadcast(sizes), "pivot").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
     dealt = dealt.select("*", F.explode(every).alias("other")).select(
         "key", "weight", "v", "signs", "pivot", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")
     )
