@@ -30,7 +30,8 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
-def _written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """``df`` as ``stage`` returns it, and the folder to ``remove`` in the end."""
     path = f"{shared_dir(df.sparkSession)}/sparkloom/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path), path
@@ -42,7 +43,7 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     Cuts the lineage: later jobs neither repeat the work nor need the shuffle
     files of executors that may be gone by then.
     """
-    return _written(df, name)[0]
+    return written(df, name)[0]
 
 
 def remove(spark: SparkSession, path: str) -> None:
@@ -58,7 +59,7 @@ def scratch(spark: SparkSession):
     paths = []
 
     def put(df: DataFrame, name: str) -> DataFrame:
-        back, path = _written(df, name)
+        back, path = written(df, name)
         paths.append(path)
         return back
 
