@@ -16,6 +16,8 @@ from .secrets import KEY, _row_key
 
 SEED = 42
 ROWS_A_BLOCK = 1 << 18
+#: The same where rows come with the shingles of their texts.
+ROWS_WITH_SETS = 1 << 11
 TILE = 256
 #: Links that a group of work gathers before it reduces them to a spanning forest.
 LINKS = 1 << 20
@@ -176,6 +178,45 @@ def propose(left: np.ndarray, right: np.ndarray, radius: int, same: bool, part:
     return (_forest(n, links) if part is None else links)[:, :2]
 
 
+def across(left: np.ndarray, right: np.ndarray, radius: int, same: bool, part: np.ndarray) -> np.ndarray:
+    """The rows of left followed by right (the same array if ``same``) that are within
+    ``radius`` bits of a row of another part. Holds one flag for each row."""
+    base = 0 if same else len(left)
+    found = np.zeros(len(left) + (0 if same else len(right)), bool)
+    for x, y, _ in _near(left, right, radius, same):
+        use = part[x] != part[y + base]
+        found[x[use]] = True
+        found[y[use] + base] = True
+    return np.flatnonzero(found)
+
+
+def joining(left: np.ndarray, right: np.ndarray, radius: int, same: bool, part: np.ndarray, sets: list[np.ndarray]) -> np.ndarray:
+    """Links (x, y), within ``radius`` bits and of sorted sets with a Jaccard similarity
+    of NUM/DEN, that join the parts as all such links would. A pair whose parts are
+    joined already is not looked at, so there are fewer links than rows."""
+    base = 0 if same else len(left)
+    _, first, of = np.unique(part, return_index=True, return_inverse=True)
+    groups, size, out = _Groups(len(part)), np.array([len(s) for s in sets], np.int64), []
+    groups.label = first[of]
+    for x, y, _ in _near(left, right, radius, same):
+        y = y + base
+        while len(x):
+            low, high = np.minimum(size[x], size[y]), np.maximum(size[x], size[y])
+            use = (groups.label[x] != groups.label[y]) & (DEN * low >= NUM * high)
+            x, y = x[use], y[use]
+            for k, (i, j) in enumerate(zip(x.tolist(), y.tolist(), strict=True)):
+                a, b = (sets[i], sets[j]) if size[i] < size[j] else (sets[j], sets[i])
+                both = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum()) if len(a) else 0
+                if DEN * both >= NUM * (len(a) + len(b) - both):
+                    out.append((i, j))
+                    groups.link(np.array([i]), np.array([j]))
+                    x, y = x[k + 1 :], y[k + 1 :]
+                    break
+            else:
+                break
+    return np.array(out, np.int64).reshape(-1, 2)
+
+
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                    width: int = 3, words: int = 1, radius: int = 2) -> DataFrame:
     """(id, fp, component) per row of ``docs``: component is the smallest id
@@ -197,7 +238,7 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     prints = stage(fingerprints(docs, id_col, text_col, width, words), "fingerprints")
     nodes = stage(_nodes(prints), "nodes")
 
-    def run(fp, key, cut, part):
+    def run(fp, key, cut, part, sets):
         label = compare_blocks(fp[:cut], fp[cut:], radius, False) if cut else compare_blocks(fp, fp, radius, True)
         to = np.flatnonzero(label != np.arange(len(label)))
         return key[to], key[label[to]]
@@ -210,14 +251,14 @@ def _nodes(prints: DataFrame) -> DataFrame:
     return prints.groupBy("fp").agg(F.min("id").alias("low"), F.min(F.struct(*KEY)).alias("row"), F.min(F.xxhash64("fp")).alias("key"))
 
 
-def _links(nodes: DataFrame, find) -> DataFrame:
+def _links(nodes: DataFrame, find, rows: int = ROWS_A_BLOCK) -> DataFrame:
     """(src, dst) that ``find`` returns for each pair of blocks, from fingerprints,
-    keys, the row at which the second block begins (0 for a block with itself)
-    and parts, where ``nodes`` has the column ``part``."""
-    blocks = 8 * max(1, int(np.ceil(np.sqrt(nodes.count() / 8 / ROWS_A_BLOCK))))
+    keys, the row at which the second block begins (0 for a block with itself),
+    and parts and sets, where ``nodes`` has the columns ``part`` and ``s``."""
+    blocks = 8 * max(1, int(np.ceil(np.sqrt(nodes.count() / 8 / rows))))
     every = F.sequence(F.lit(0), F.lit(blocks - 1))
     block = F.pmod(F.col("key"), F.lit(blocks)).cast("int")
-    more = ["part"] if "part" in nodes.columns else []
+    more = [c for c in ("part", "s") if c in nodes.columns]
     dealt = nodes.select("fp", "key", *more, block.alias("block"), F.explode(every).alias("other")).select(
         "fp", "key", *more, "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")
     )
@@ -230,7 +271,8 @@ def _links(nodes: DataFrame, find) -> DataFrame:
         if i != j and cut in (0, len(pdf)):
             return pd.DataFrame({"src": [], "dst": []})
         fp = np.array(pdf["fp"].tolist(), np.int64).view(np.uint64).reshape(len(pdf), -1)
-        src, dst = find(fp, pdf["key"].to_numpy(), cut, pdf["part"].to_numpy() if more else None)
+        part, sets = (pdf["part"].to_numpy() if "part" in more else None), (pdf["s"].tolist() if "s" in more else None)
+        src, dst = find(fp, pdf["key"].to_numpy(), cut, part, sets)
         return pd.DataFrame({"src": src, "dst": dst})
 
     return dealt.groupBy("i", "j").applyInPandas(run, "src long, dst long")
@@ -246,11 +288,9 @@ def _named(prints: DataFrame, nodes: DataFrame, linked: DataFrame) -> DataFrame:
     return prints.join(named, "fp").select("id", *KEY, "fp", "component")
 
 
-def _verified(put, links: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """The links whose texts share NUM/DEN of their distinct shingles. Texts are
-    read again for the nodes with links only."""
-    links = put(links.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct(), "links")
-    ends = links.select(F.col("src").alias("key")).union(links.select("dst")).distinct()
+def _shingles(put, ends: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
+    """(key, s) of the nodes that ``ends`` (key) names: the sorted hashes of their
+    distinct shingles. Texts are read again for these nodes only."""
     rows = put(nodes.join(ends, "key", "left_semi").select("key", F.col("row.k1").alias("k1"), F.col("row.k2").alias("k2")), "ends")
     few = rows.count() <= BROADCAST_KEYS
     text = text_or_empty(docs, text_col)
@@ -262,7 +302,14 @@ def _verified(put, links: DataFrame, nodes: DataFrame, docs: DataFrame, id_col:
             sets = [np.unique(np.frombuffer(b"".join(_digests(t, width, 1)), ">i8").astype(np.int64)) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["key", "s"])
 
-    sets = put(texts.mapInArrow(run, "key long, s array<long>"), "shingles")
+    return put(texts.mapInArrow(run, "key long, s array<long>"), "shingles")
+
+
+def _verified(put, links: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
+    """The links whose texts share NUM/DEN of their distinct shingles."""
+    links = put(links.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct(), "links")
+    ends = links.select(F.col("src").alias("key")).union(links.select("dst")).distinct()
+    sets = _shingles(put, ends, nodes, docs, id_col, text_col, width)
     a, b = sets.select(F.col("key").alias("src"), F.col("s").alias("a")), sets.select(F.col("key").alias("dst"), F.col("s").alias("b"))
     both = F.size(F.array_intersect("a", "b"))
     met = links.join(a, "src").join(b, "dst").where(DEN * both >= NUM * (F.size("a") + F.size("b") - both))
@@ -281,23 +328,35 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     texts with 5 shingles, 4 of them shared, about one in 300 pairs is missed.
 
     First each pair of blocks proposes a spanning forest of its least distances,
-    so that a large group of near copies costs few links. Then all pairs within
-    the radius follow whose texts the verified links have not joined yet.
-    Equal fingerprints are one node and are not compared.
+    so that a large group of near copies costs few links. Of the texts that the
+    verified links have not joined though they are within the radius, the sets then
+    go along with the fingerprints, and a pair of blocks verifies in its own task
+    whatever pairs still lie in two parts: no task returns more than a link for each
+    row. Equal fingerprints are one node and are not compared.
     """
     with scratch(docs.sparkSession) as put:
         prints = put(fingerprints(docs, id_col, text_col, width, words, True), "fingerprints")
         nodes = put(_nodes(prints), "nodes")
 
-        def run(fp, key, cut, part):
+        def run(fp, key, cut, part, sets):
             links = propose(fp[:cut] if cut else fp, fp[cut:], radius, not cut, part)
             return key[links[:, 0]], key[links[:, 1]]
 
+        def waiting(fp, key, cut, part, sets):
+            at = across(fp[:cut] if cut else fp, fp[cut:], radius, not cut, part)
+            return key[at], key[at]
+
+        def verify(fp, key, cut, part, sets):
+            links = joining(fp[:cut] if cut else fp, fp[cut:], radius, not cut, part, sets)
+            return key[links[:, 0]], key[links[:, 1]]
+
         first = _verified(put, _links(nodes, run), nodes, docs, id_col, text_col, width)
         joined = connected_components(first)
         parted = nodes.join(joined, nodes["key"] == joined["node"], "left").select("fp", "row", "key", F.coalesce("component", "key").alias("part"))
         parted = put(parted, "parted")
-        rest = _verified(put, _links(parted, run), nodes, docs, id_col, text_col, width)
+        open_ = put(_links(parted, waiting).select(F.col("src").alias("key")).distinct(), "open")
+        sets = _shingles(put, open_, nodes, docs, id_col, text_col, width)
+        rest = put(_links(put(parted.join(sets, "key").select("fp", "key", "part", "s"), "open-sets"), verify, ROWS_WITH_SETS), "joined")
         return stage(_named(prints, nodes, connected_components(first.union(rest))), "near-copies")
 
 

@@ -7,7 +7,7 @@ import xxhash
 
 from sparkloom.llm.components import connected_components
 from sparkloom.llm.exact_dedup import exact_dedup
-from sparkloom.llm.simhash import compare_blocks, propose, simhash_dedup, simhash_groups
+from sparkloom.llm.simhash import _Groups, across, compare_blocks, joining, propose, simhash_dedup, simhash_groups
 
 DOCS = "doc_id long, text string, source string, keep_id string, d string"
 
@@ -131,3 +131,31 @@ def test_simhash_dedup_of_an_id_that_stays_and_goes(spark):
     rows = [(1, a), (7, a + " tail"), (7, b), (9, b + " tail"), (None, a), (None, b)]
     got = [(r["doc_id"], r["text"]) for r in simhash_dedup(docs(spark, rows)).collect()]
     assert sorted(got, key=str) == sorted([(1, a), (7, b), (None, a), (None, b)], key=str)
+
+
+def test_links_that_join_parts():
+    """Those that are found join the parts as all links of near and similar rows would."""
+    rng = np.random.default_rng(11)
+    fp = rng.integers(0, 2**63, (90, 1)).astype(np.uint64)
+    fp = np.concatenate((fp, fp[:60] ^ np.uint64(5), fp[:30] ^ np.uint64(9), fp[:20]))
+    part = np.arange(len(fp)) // 2 * 7
+    sets = [np.unique(rng.integers(k % 90 * 10, k % 90 * 10 + 12, 11)) for k in range(len(fp))]
+    sets[0] = sets[90] = np.zeros(0, np.int64)
+    near = [(i, j) for i in range(len(fp)) for j in range(i) if bin(int(fp[i, 0] ^ fp[j, 0])).count("1") <= 4 and part[i] != part[j]]
+    alike = [(i, j) for i, j in near if 5 * len(both := np.intersect1d(sets[i], sets[j])) >= 4 * len(np.union1d(sets[i], sets[j])) or 0 * len(both)]
+    assert len(alike) not in (0, len(near))
+
+    def grouped(links):
+        groups = _Groups(len(fp))
+        of = np.unique(part, return_index=True, return_inverse=True)
+        groups.label = of[1][of[2]]
+        for i, j in links:
+            groups.link(np.array([i]), np.array([j]))
+        return groups.label.tolist()
+
+    for cut in (0, 70):
+        left, right = (fp[:cut] if cut else fp), fp[cut:]
+        inside = [(i, j) for i, j in alike if not cut or (i >= cut) != (j >= cut)]
+        found = joining(left, right, 4, not cut, part, sets)
+        assert grouped(found) == grouped(inside) and {(max(x), min(x)) for x in found.tolist()} <= set(inside)
+        assert across(left, right, 4, not cut, part).tolist() == sorted({k for i, j in near if not cut or (i >= cut) != (j >= cut) for k in (i, j)})
