@@ -18,6 +18,11 @@ UNITS = {
 #: Sizes that are glued to a brand, and to a word's end.
 SIZES = "SM|MD|LG|XL|XS|XXL"
 ENDINGS = "XXL|MINI|JUMBO|SM|MD|LG|XL"
+#: Legal forms behind a brand, and marks that brands are compared without.
+LEGAL_FORMS = "inc|llc|ltd|limited|co|company|brands|group|corporation|corp"
+MARKS = "®™©℠℗[]{}()'\""
+#: Characters that part a name from what stands around it.
+EDGES = ",-–—|: "
 
 
 def _named(c: Column, names: dict[str, str]) -> Column:
@@ -42,8 +47,8 @@ def net_content(c: Column) -> Column:
 
 def group_brand(c: Column) -> Column:
     """Lower case, without marks, brackets, quotes and a closing legal form."""
-    t = F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"[®™©℠℗\[\]{}()'\"]", "")
-    return F.trim(F.regexp_replace(t, r"\b(inc|llc|ltd|limited|co|company|brands|group|corporation|corp)\b\.?$", ""))
+    bare = F.translate(F.lower(F.coalesce(c, F.lit(""))), MARKS, "")
+    return F.trim(F.regexp_replace(bare, rf"\b({LEGAL_FORMS})\b\.?$", ""))
 
 
 def expand(c: Column) -> Column:
@@ -61,33 +66,41 @@ def split_sizes(c: Column) -> Column:
     return F.regexp_replace(bare, r"(?i)\b(SM|MD|LG|XL|XXL)(harvest)\b", "$1 $2")
 
 
-def _phrase(brand: Column) -> Column:
-    """Pattern of a brand's words with anything but letters and digits between."""
-    return F.array_join(F.regexp_extract_all(brand, F.lit("([A-Za-z0-9]+)")), "[^A-Za-z0-9]+")
+def _tokens(c: Column) -> Column:
+    """The runs of letters and digits of a text, in lower case."""
+    return F.regexp_extract_all(F.lower(c), F.lit("([a-z0-9]+)"))
+
+
+def _times(words: Column, part: Column) -> Column:
+    """How often the words of ``part`` follow each other in ``words``."""
+    starts = F.sequence(F.lit(1), F.greatest(F.size(words), F.lit(1)))
+    return F.when(F.size(part) > 0, F.size(F.filter(starts, lambda k: F.slice(words, k, F.size(part)) == part))).otherwise(0)
 
 
 def split_before_brand(name: Column, brand: Column) -> Column:
-    """A blank between a size and the row's own brand glued to it."""
-    p = _phrase(brand)
-    return F.when(F.length(p) > 0, F.regexp_replace(name, F.concat(F.lit(f"(?i)(?<![A-Za-z0-9])({SIZES})(?="), p, F.lit(")")), F.lit("$1 "))).otherwise(name)
+    """A blank between a size that begins a word and the row's own brand glued to it."""
+    words, own = F.split(name, " "), F.array_join(F.filter(F.split(F.lower(brand), " "), lambda w: w != ""), " ")
+
+    def parted(word: Column, at: Column) -> Column:
+        ahead = F.lower(F.array_join(F.slice(words, at + 1, F.size(words)), " "))
+        cut = [F.when(ahead.startswith(F.concat(F.lit(size.lower()), own)), F.concat_ws(" ", F.left(word, F.lit(len(size))), F.substring(word, len(size) + 1, 1 << 20))) for size in SIZES.split("|")]
+        return F.coalesce(*cut, word)
+
+    return F.when(own != "", F.array_join(F.transform(words, parted), " ")).otherwise(name)
 
 
 def brand_first(name: Column, brand: Column) -> Column:
-    """A brand that stands once, and at the end, moved to the front."""
-    p = _phrase(brand)
-    heads = F.regexp_like(name, F.concat(F.lit("(?i)^"), p, F.lit(r"(?=\s|$)")))
-    times = F.regexp_count(name, F.concat(F.lit("(?i)(?<![A-Za-z0-9])"), p, F.lit("(?![A-Za-z0-9])")))
-    tail = F.concat(F.lit(r"(?i)^(.+?)[\s,-]*("), p, F.lit(")$"))
-    rest = F.trim(F.regexp_replace(name, tail, F.lit("$1")))
-    moves = (F.length(p) > 0) & ~heads & (times == 1) & F.regexp_like(name, tail) & (rest != "")
-    return F.when(moves, F.concat(F.trim(brand), F.lit(" "), F.regexp_replace(rest, r"[\s,-]+$", ""))).otherwise(name)
+    """A brand whose words stand once, and at the very end, moved to the front."""
+    words, own = _tokens(name), _tokens(brand)
+    last = F.concat(F.lit("([^A-Za-z0-9]*[A-Za-z0-9]+){"), F.greatest(F.size(own), F.lit(1)).cast("string"), F.lit("}$"))
+    rest = F.btrim(F.regexp_replace(name, last, F.lit("")), F.lit(EDGES))
+    ends = (F.size(words) > F.size(own)) & (F.slice(words, -F.least(F.size(own), F.size(words)), F.size(own)) == own) & name.rlike("[A-Za-z0-9]$")
+    return F.when((_times(words, own) == 1) & ends & (rest != ""), F.concat(F.trim(brand), F.lit(" "), rest)).otherwise(name)
 
 
 def clean(c: Column) -> Column:
-    """Without punctuation at the ends and a closing run of eight digits or more."""
-    t = F.trim(F.regexp_replace(F.trim(c), r"[,\-–—|:]+\s*$", ""))
-    t = F.trim(F.regexp_replace(t, r"^[,\-–—|:]+\s*", ""))
-    t = F.trim(F.regexp_replace(t, r"\s+[0-9]{8,}$", ""))
+    """Without separators at the ends and a closing run of eight digits or more."""
+    t = F.regexp_replace(F.btrim(c, F.lit(EDGES)), r"\s+[0-9]{8,}$", "")
     return F.when(t != "", t).otherwise(F.trim(c))
 
 
@@ -126,4 +139,4 @@ def life_stage(c: Column) -> Column:
 
 def brand_count(title: Column, brand: Column) -> Column:
     """How often the words of a brand stand in a title as words of their own."""
-    return F.regexp_count(title, F.concat(F.lit("(?i)(?<![A-Za-z0-9])"), _phrase(brand), F.lit("(?![A-Za-z0-9])")))
+    return _times(_tokens(title), _tokens(brand))
