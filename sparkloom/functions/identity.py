@@ -79,6 +79,17 @@ def brand_key(c: Column) -> Column:
     return F.when(t != "", t)
 
 
+def for_comparison(field: Column, raw: Column) -> Column:
+    """struct<value, status> by the rule of the field: weights in pounds, brands
+    and pack counts by key; ``failed`` keeps what has no such form, other fields
+    are ``unchanged``."""
+    keyed = F.when(field == "weight", F.format_string("%.2f", pounds(raw))).when(field == "brand", brand_key(raw)).when(field == "packCount", pack_count(raw))
+    known = F.coalesce(field.isin("weight", "brand", "packCount"), F.lit(False))
+    keyed = F.when((field == "weight") & pounds(raw).isNull(), None).otherwise(keyed)
+    status = F.when(~known, "unchanged").when(keyed.isNull(), "failed").otherwise("normalized")
+    return F.struct(F.coalesce(keyed, raw).alias("value"), status.alias("status"))
+
+
 def compact_key(c: Column) -> Column:
     return F.regexp_replace(F.lower(c), "[^a-z0-9]", "")
 

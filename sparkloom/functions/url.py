@@ -66,6 +66,21 @@ def parent_key(u: Column) -> Column:
     return identity_key(u, lambda x: tracking(x) | variant(x))
 
 
+def deep_link(parent: Column, link: Column, platform: Column) -> Column:
+    """The key of a variant's page: the parent's address with the variant
+    parameters of ``link`` instead of its own. Without a link, ``platform`` is the
+    variant's number; without either the parent stays as it is. A fragment of the
+    link goes before the parent's."""
+    link = F.coalesce(link, F.concat(F.lit("?variant="), platform.cast("string")))
+    split = lambda u: F.filter(F.split(F.regexp_extract(u, r"\?([^#]*)", 1), "&"), lambda x: x != "")
+    parts = F.concat(F.filter(split(parent), lambda x: ~variant(x)), F.filter(split(link), variant))
+    own, other = F.regexp_extract(parent, "#(.*)$", 1), F.regexp_extract(link, "#(.*)$", 1)
+    tail = F.when(other != "", other).otherwise(own)
+    some = lambda sign, x: F.when(x != "", F.concat(F.lit(sign), x)).otherwise("")
+    whole = F.concat(F.regexp_extract(parent, "^([^?#]*)", 1), some("?", F.array_join(parts, "&")), some("#", tail))
+    return F.when(link.isNotNull(), identity_key(whole)).otherwise(parent)
+
+
 def registrable_domain(h: Column) -> Column:
     """The registered name and its suffix."""
     labels = F.split(h, r"\.")

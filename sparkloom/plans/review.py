@@ -100,25 +100,26 @@ def q_proposal_choice(spark, sf_dir):
 
 
 @R.query(r"""
-    WITH t AS (SELECT p_brand, p_partkey, CASE WHEN p_partkey % 2 = 0 THEN upper(p_type) ELSE p_type || '.' END AS title FROM part WHERE p_brand <> 'Brand#1' OR p_type = 'SMALL')
-    SELECT p_brand, count(*) AS candidates, CASE WHEN count(DISTINCT regexp_replace(lower(title), '[^a-z0-9]+', '', 'g')) = 1 THEN arg_min(title, p_partkey) END AS choice FROM t GROUP BY 1""")
+    WITH t AS (SELECT p_brand, p_type, p_size, p_partkey, CASE WHEN p_partkey % 2 = 0 THEN upper(p_name) ELSE p_name || '.' END AS title FROM part)
+    SELECT p_brand, p_type, p_size, count(*) AS candidates, CASE WHEN count(DISTINCT regexp_replace(lower(title), '[^a-z0-9]+', '', 'g')) = 1 THEN arg_min(title, p_partkey) END AS choice FROM t GROUP BY 1, 2, 3""")
 def q_name_choice(spark, sf_dir):
     """The first of a group's names where all are the same but for form, else none.
     Least and greatest form tell that without a list of them."""
     p, k = load(spark, sf_dir, "part"), F.col("p_partkey")
-    title = F.when(k % 2 == 0, F.upper("p_type")).otherwise(F.concat("p_type", F.lit(".")))
-    t = p.where("p_brand <> 'Brand#1' OR p_type = 'SMALL'").select("p_brand", k, title.alias("title"))
+    title = F.when(k % 2 == 0, F.upper("p_name")).otherwise(F.concat("p_name", F.lit(".")))
+    key = ["p_brand", "p_type", "p_size"]
+    t = p.select(*key, k, title.alias("title"))
     form = F.regexp_replace(F.lower("title"), "[^a-z0-9]+", "")
-    return t.groupBy("p_brand").agg(F.count("*").alias("candidates"), F.when(F.min(form) == F.max(form), F.min_by("title", k)).alias("choice"))
+    return t.groupBy(*key).agg(F.count("*").alias("candidates"), F.when(F.min(form) == F.max(form), F.min_by("title", k)).alias("choice"))
 
 
 @R.query("""
-    WITH m AS (SELECT DISTINCT l_orderkey, l_suppkey % 4 AS brand, l_linenumber AS sku FROM lineitem WHERE l_tax < 0.07),
+    WITH m AS (SELECT DISTINCT l_orderkey, l_suppkey % 4 AS brand, l_linenumber AS sku FROM lineitem),
          n AS (SELECT l_orderkey, count(DISTINCT sku) AS members, count(DISTINCT brand) AS brands FROM m GROUP BY 1), b AS (SELECT l_orderkey, brand, count(DISTINCT sku) AS having_it FROM m GROUP BY 1, 2)
     SELECT n.l_orderkey, n.members, n.brands, CASE WHEN n.brands <= 1 THEN 'passed' ELSE 'conflict' END AS outcome, count(*) FILTER (b.having_it = n.members) AS shared FROM n JOIN b ON b.l_orderkey = n.l_orderkey GROUP BY 1, 2, 3""")
 def q_brand_coherence(spark, sf_dir):
     """Whether the members of a family resolve to one brand, and how many brands all share."""
-    m = load(spark, sf_dir, "lineitem").where("l_tax < 0.07").select("l_orderkey", (F.col("l_suppkey") % 4).alias("brand"), F.col("l_linenumber").alias("sku")).distinct()
+    m = load(spark, sf_dir, "lineitem").select("l_orderkey", (F.col("l_suppkey") % 4).alias("brand"), F.col("l_linenumber").alias("sku")).distinct()
     n = m.groupBy("l_orderkey").agg(F.countDistinct("sku").alias("members"), F.countDistinct("brand").alias("brands"))
     b = m.groupBy("l_orderkey", "brand").agg(F.countDistinct("sku").alias("having_it"))
     found = b.join(n, "l_orderkey").groupBy("l_orderkey", "members", "brands").agg(F.count_if(F.col("having_it") == F.col("members")).alias("shared"))
@@ -170,14 +171,14 @@ def q_variant_identity(spark, sf_dir):
 
 
 @R.query("""
-    SELECT p_type, count(*) AS members, min(p_partkey) AS main, array_to_string(list(p_partkey ORDER BY p_partkey)[1:10], ',') AS siblings FROM part GROUP BY p_brand, p_type, p_brand HAVING count(*) > 1""")
+    SELECT p_brand, p_type, count(*) AS members, min(p_partkey) AS main, array_to_string(list(p_partkey ORDER BY p_partkey)[1:10], ',') AS siblings FROM part GROUP BY p_brand, p_type HAVING count(*) > 1""")
 def q_siblings(spark, sf_dir):
     """Families of two or more with the first ten members; ranks are cut before keys meet."""
     p, key = load(spark, sf_dir, "part").select("p_brand", "p_type", "p_partkey"), ["p_brand", "p_type"]
     rank = F.row_number().over(Window.partitionBy(*key).orderBy("p_partkey"))
     top = p.withColumn("rn", rank).where("rn <= 10").groupBy(*key).agg(F.array_join(F.array_sort(F.collect_list("p_partkey")), ",").alias("siblings"))
     n = p.groupBy(*key).agg(F.count("*").alias("members"), F.min("p_partkey").alias("main")).where("members > 1")
-    return n.join(top, key).select("p_type", "members", "main", "siblings")
+    return n.join(top, key).select(*key, "members", "main", "siblings")
 
 
 # --- scores
