@@ -36,15 +36,18 @@ def q_brand_ladder(spark, sf_dir):
 @R.query("""
     WITH a AS (SELECT p_partkey AS a, lpad((p_partkey % 501)::VARCHAR, 12, '0') AS code FROM part WHERE p_partkey % 2 = 0),
          b AS (SELECT p_partkey AS b, CASE WHEN p_partkey % 3 = 0 THEN lpad((p_partkey % 501)::VARCHAR, 14, '0') ELSE lpad((p_partkey % 501)::VARCHAR, 10, '0') END AS code FROM part WHERE p_partkey % 2 = 1)
-    SELECT a, b FROM a JOIN b ON CASE WHEN length(a.code) IN (8, 12, 13, 14) THEN lpad(a.code, 14, '0') ELSE a.code END
-        = CASE WHEN length(b.code) IN (8, 12, 13, 14) THEN lpad(b.code, 14, '0') ELSE b.code END""")
+    SELECT a, count(b) AS links, coalesce(min(b), -1) AS first FROM a LEFT JOIN b ON CASE WHEN length(a.code) IN (8, 12, 13, 14) THEN lpad(a.code, 14, '0') ELSE a.code END
+        = CASE WHEN length(b.code) IN (8, 12, 13, 14) THEN lpad(b.code, 14, '0') ELSE b.code END GROUP BY 1""")
 def q_gtin_join(spark, sf_dir):
+    """How many parts of the other half have a part's code in any of its lengths,
+    and the first of them or -1. Codes are counted before they meet, so no pairs are made."""
     p, k = load(spark, sf_dir, "part"), F.col("p_partkey")
     no = (k % 501).cast("string")
     key = lambda c: F.when(F.length(c).isin(8, 12, 13, 14), identity.gtin14(c)).otherwise(c)
     a = p.where(k % 2 == 0).select(k.alias("a"), key(F.lpad(no, 12, "0")).alias("code"))
     b = p.where(k % 2 == 1).select(k.alias("b"), key(F.when(k % 3 == 0, F.lpad(no, 14, "0")).otherwise(F.lpad(no, 10, "0"))).alias("code"))
-    return a.join(b, "code").select("a", "b")
+    codes = b.groupBy("code").agg(F.count("*").alias("links"), F.min("b").alias("first"))
+    return a.join(codes, "code", "left").select("a", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("first", F.lit(-1)).alias("first"))
 
 
 @R.query(r"""

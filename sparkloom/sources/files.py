@@ -55,8 +55,8 @@ def write_sorted_json_lines(df: DataFrame, path: str, key: str) -> None:
     ordered.repartitionByRange(key).sortWithinPartitions(key).select(F.to_json(F.struct(*ordered.columns)).alias("value")).write.text(path)
 
 
-def xml_rows(spark: SparkSession, path: str, row_tag: str, schema: str | None = None) -> DataFrame:
-    reader = spark.read.format("xml").option("rowTag", row_tag)
+def xml_rows(spark: SparkSession, path: str, row_tag: str, schema: str | None = None, **options) -> DataFrame:
+    reader = spark.read.format("xml").option("rowTag", row_tag).options(**options)
     return (reader.schema(schema) if schema else reader).load(path)
 
 
