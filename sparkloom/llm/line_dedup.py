@@ -27,18 +27,27 @@ def _blanks(text: Column) -> Column:
     return F.when(odd, F.translate(text, ODD, " " * len(ODD))).otherwise(text)
 
 
-def row_key(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> list[Column]:
-    """Id and hash of the text, which only rows that are the same document share."""
-    return [F.coalesce(docs[id_col].cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64(text_or_empty(docs, text_col)).alias("h")]
+def row_key(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hashed: bool = True) -> list[Column]:
+    """Id and hash of the text, which only rows that are the same document share;
+    where no id repeats, 0 does for the hash."""
+    h = F.xxhash64(text_or_empty(docs, text_col)) if hashed else F.lit(0).cast("long")
+    return [F.coalesce(docs[id_col].cast("long"), F.lit(NO_ID)).alias("id"), h.alias("h")]
+
+
+def ids_repeat(docs: DataFrame, id_col: str = "doc_id") -> bool:
+    """Whether two rows share an id. Where none do, no hash of a text goes along
+    with every token of it."""
+    ids = docs.select(F.coalesce(docs[id_col].cast("long"), F.lit(NO_ID)).alias("id"))
+    return ids.groupBy("id").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] not in (None, 1)
 
 
 def _words(line: Column) -> Column:
     return F.array_remove(F.split(line, " ", -1), "")
 
 
-def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _lines(docs: DataFrame, id_col: str, text_col: str, hashed: bool) -> DataFrame:
     """(id, h, no, w) of every line that has words, with its words."""
-    rows = docs.select(*row_key(docs, id_col, text_col), F.posexplode_outer(F.split(_blanks(text_or_empty(docs, text_col)), "\n", -1)).alias("no", "line"))
+    rows = docs.select(*row_key(docs, id_col, text_col, hashed), F.posexplode_outer(F.split(_blanks(text_or_empty(docs, text_col)), "\n", -1)).alias("no", "line"))
     return rows.where(F.trim("line") != "").select("id", "h", "no", _words(F.col("line")).alias("w"))
 
 
@@ -130,10 +139,10 @@ def _shared(posts: DataFrame, levels: DataFrame) -> DataFrame:
     return low.select(*columns).unionByName(top.select(*columns))
 
 
-def kept_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5) -> DataFrame:
+def kept_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, hashed: bool | None = None) -> DataFrame:
     """(id, h, kept): for each row, by ``row_key``, with a line that stays, the
     numbers of its lines that stay, from 0 and in order. Lines without words are
-    not counted.
+    not counted. ``hashed`` is that of ``row_key``, by default whether ids repeat.
 
     A line's tokens are its distinct runs of ``width`` words, or all its words
     where they are fewer, ranked by how many tokens share their bucket of hashes.
@@ -146,7 +155,8 @@ def kept_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     So that large groups of near copies cost no pairs, every class is first
     compared with the earliest class of each of its tokens only; just those
-    that no such comparison removes go on to meet all earlier ones.
+    that no such comparison removes go on to meet all earlier ones. Each time
+    texts are read again for the lines of the pairs alone.
 
     Rows that share id and text are one document and lose the same lines; rows
     that share only the id, or have none, are documents of their own. Null ids
@@ -155,54 +165,65 @@ def kept_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     told apart by 64-bit hashes.
     """
     c, line = F.col, F.struct("id", "no", "h")
-    with scratch(docs.sparkSession) as put:
-        lines = _lines(docs, id_col, text_col)
-        levels = put(_levels(lines, width), "levels")
-        # a column of its own as subqueries may not stand in a lambda; the optimizer puts it back as a constant
-        hashed = lines.select(line.alias("line"), F.xxhash64("w").alias("c1"), F.hash("w").alias("c2"), _hashed_words().alias("w"))
-        hashed = hashed.select("line", "c1", "c2", F.sort_array(_tokens(width)).alias("tokens"), levels.scalar().alias("levels"))
-        classed = _posted(hashed).groupBy("c1", "c2", "n")
-        classes = put(classed.agg(F.min("line").alias("line"), F.any_value("prefix").alias("prefix")).select("line", "n", "prefix"), "classes")
-
-        posts = classes.select("line.*", "n", F.posexplode("prefix").alias("i", "token")).select("token", "id", "no", "h", "n", "i")
-        shared = put(_shared(posts, levels), "shared")
-        first = shared.where("id = low").groupBy("token").agg(F.min(F.struct("id", "no", "h", "n", "i")).alias("f"))
-        first = first.select("token", F.struct("f.id", "f.no", "f.h").alias("y"), c("f.n").alias("ny"), c("f.i").alias("iy"))
-        led = shared.join(first, "token").select("token", line.alias("x"), c("n").alias("nx"), c("i").alias("ix"), "y", "ny", "iy", "size")
-        led = put(led.where("x <> y"), "led")
-
-        def possible(na: str, ia: str, nb: str, ib: str) -> Column:
-            """Length and position filter in whole numbers."""
-            na, ia, nb, ib = map(c, (na, ia, nb, ib))
-            most = F.least(na - ia, nb - ib)
-            return (DEN * F.least(na, nb) >= NUM * F.greatest(na, nb)) & ((NUM + DEN) * most >= NUM * (na + nb))
+    hashed = ids_repeat(docs, id_col) if hashed is None else hashed
 
-        pairs = put(led.where(possible("nx", "ix", "ny", "iy")).select("x", "y").distinct(), "pairs")
-        others = led.where("size > 2")  # of the tokens that more than the first and one other class post
-        met = pairs.select(F.explode(F.array("x", "y")).alias("x")).union(others.select("x")).distinct()
+    def possible(na: str, ia: str, nb: str, ib: str) -> Column:
+        """Length and position filter in whole numbers."""
+        na, ia, nb, ib = map(c, (na, ia, nb, ib))
+        most = F.least(na - ia, nb - ib)
+        return (DEN * F.least(na, nb) >= NUM * F.greatest(na, nb)) & ((NUM + DEN) * most >= NUM * (na + nb))
+
+    def similar(put, pairs: DataFrame) -> DataFrame:
+        """(x) of the pairs (x, y) whose token sets reach the similarity."""
+        met = pairs.select(F.explode(F.array("x", "y")).alias("x")).distinct()
         wanted = put(met.groupBy("x.id", "x.h").agg(F.collect_list("x.no").alias("nos")), "wanted")
         entries = wanted.agg(F.sum(F.size("nos"))).first()[0] or 0
-        split = docs.select(*row_key(docs, id_col, text_col), F.split(_blanks(text_or_empty(docs, text_col)), "\n", -1).alias("all"))
+        split = docs.select(*row_key(docs, id_col, text_col, hashed), F.split(_blanks(text_or_empty(docs, text_col)), "\n", -1).alias("all"))
         found = _by_row(wanted, split, entries).select("id", "h", F.explode("nos").alias("no"), "all").select("id", "no", "h", _words(F.get("all", c("no"))).alias("w"))
         sets = put(found.select(line.alias("line"), _hashed_words().alias("w")).select("line", _tokens(width).alias("tokens")), "sets")
+        return put(_similar(pairs, sets).select("x").distinct(), "gone")
+
+    with scratch(docs.sparkSession) as put:
+        with scratch(docs.sparkSession) as early:
+            lines = _lines(docs, id_col, text_col, hashed)
+            levels = early(_levels(lines, width), "levels")
+            # a column of its own as subqueries may not stand in a lambda; the optimizer puts it back as a constant
+            told = lines.select(line.alias("line"), F.xxhash64("w").alias("c1"), F.hash("w").alias("c2"), _hashed_words().alias("w"))
+            told = told.select("line", "c1", "c2", F.sort_array(_tokens(width)).alias("tokens"), levels.scalar().alias("levels"))
+            classed = _posted(told).groupBy("c1", "c2", "n")
+            classes = early(classed.agg(F.min("line").alias("line"), F.any_value("prefix").alias("prefix")).select("line", "n", "prefix"), "classes")
+            every = put(classes.select("line"), "lines")
+
+            posts = classes.select("line.*", "n", F.posexplode("prefix").alias("i", "token")).select("token", "id", "no", "h", "n", "i")
+            shared = early(_shared(posts, levels), "shared")
+            first = shared.where("id = low").groupBy("token").agg(F.min(F.struct("id", "no", "h", "n", "i")).alias("f"))
+            first = first.select("token", F.struct("f.id", "f.no", "f.h").alias("y"), c("f.n").alias("ny"), c("f.i").alias("iy"))
+            led = shared.join(first, "token").select("token", line.alias("x"), c("n").alias("nx"), c("i").alias("ix"), "y", "ny", "iy", "size")
+            led = put(led.where("x <> y"), "led")
 
-        gone = put(_similar(pairs, sets).select("x").distinct(), "gone")
+        pairs = put(led.where(possible("nx", "ix", "ny", "iy")).select("x", "y").distinct(), "pairs")
+        with scratch(docs.sparkSession) as early:
+            gone = put(similar(early, pairs), "gone")
+        others = led.where("size > 2")  # of the tokens that more than the first and one other class post
         a = others.join(gone, "x", "left_anti").select("token", "x", c("nx").alias("na"), c("ix").alias("ia"))
         b = others.select("token", c("x").alias("y"), c("nx").alias("nb"), c("ix").alias("ib"))
         rest = a.join(b, "token").where((c("y") < c("x")) & possible("na", "ia", "nb", "ib"))
-        gone = gone.union(_similar(rest.select("x", "y").distinct(), sets).select("x").distinct())
-        stay = classes.select("line").join(gone, c("line") == c("x"), "left_anti")
+        rest = put(rest.select("x", "y").distinct(), "rest")
+        with scratch(docs.sparkSession) as early:
+            gone = gone.union(put(similar(early, rest), "gone"))
+        stay = every.join(gone, c("line") == c("x"), "left_anti")
         return stage(stay.groupBy("line.id", "line.h").agg(F.array_sort(F.collect_set("line.no")).alias("kept")), "kept")
 
 
-def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5) -> DataFrame:
+def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, hashed: bool | None = None) -> DataFrame:
     """(id_col, id, h, worded, kept) for every row of ``docs``: its key by
     ``row_key``, the numbers of its lines with words and of those that stay, as
     ``kept_lines`` finds them."""
+    hashed = ids_repeat(docs, id_col) if hashed is None else hashed
     lines = F.split(text_or_empty(docs, text_col), "\n", -1)
     worded = F.array_compact(F.transform(lines, lambda x, k: F.when(has_words(x), k)))
-    rows = docs.select(docs[id_col].alias(id_col), *(k.alias(f"{n}_") for k, n in zip(row_key(docs, id_col, text_col), "ih", strict=True)), worded.alias("worded"))
-    kept = kept_lines(docs, id_col, text_col, width).withColumnsRenamed({"id": "i_", "h": "h_"})
+    rows = docs.select(docs[id_col].alias(id_col), *(k.alias(f"{n}_") for k, n in zip(row_key(docs, id_col, text_col, hashed), "ih", strict=True)), worded.alias("worded"))
+    kept = kept_lines(docs, id_col, text_col, width, hashed).withColumnsRenamed({"id": "i_", "h": "h_"})
     return rows.join(kept, ["i_", "h_"], "left").select(
         id_col, F.col("i_"), F.col("h_"), "worded", F.coalesce("kept", F.array().cast("array<int>")).alias("kept")
     )
@@ -219,13 +240,15 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Repeated rows each lose the same lines, so a document and its exact copies
     with the same id stay or go together; no rows give no rows. Other columns
     are returned unchanged, whatever their names."""
-    report = line_report(docs, id_col, text_col, width)
+    hashed = ids_repeat(docs, id_col)
+    report = line_report(docs, id_col, text_col, width, hashed)
     cut = report.select("i_", "h_", F.array_except("worded", "kept").alias("out"), (F.size("kept") == 0).alias("none"))
     cut = stage(cut.where(F.size("out") > 0).dropDuplicates(["i_", "h_"]), "cut")
     entries = cut.agg(F.sum(F.size("out"))).first()[0] or 0
-    ident, h = row_key(docs, id_col, text_col)
-    kept = docs.select(F.struct(*docs.columns).alias("row"), ident.alias("i_"), h.alias("h_"), text_or_empty(docs, text_col).alias("t"))
+    ident, h = row_key(docs, id_col, text_col, hashed)
+    kept = docs.select(F.struct(*docs.columns).alias("row"), ident.alias("i_"), h.alias("h_"))
     rows = kept.join(F.broadcast(cut) if entries <= BROADCAST_LINES else cut, ["i_", "h_"], "left").where(~F.coalesce("none", F.lit(False)))
-    lines = F.transform(F.split("t", "\n", -1), lambda x, k: F.when(~F.array_contains("out", k), x))
+    text = F.coalesce(F.col("row")[text_col].cast("string"), F.lit(""))
+    lines = F.transform(F.split(text, "\n", -1), lambda x, k: F.when(~F.array_contains("out", k), x))
     new = F.when(F.col("out").isNull(), F.col("row")[text_col]).otherwise(F.array_join(F.array_compact(lines), "\n"))
     return rows.select(*((new if c == text_col else F.col("row")[c]).alias(c) for c in docs.columns))

@@ -143,6 +143,37 @@ def test_shuffled_lookup_gives_the_same(spark, monkeypatch):
     assert sorted(dedup_lines(df).collect(), key=str) == want
 
 
+def test_no_shuffle_files_stay_behind_a_table(spark):
+    import time
+
+    from sparkloom.llm.common import SHUFFLES_GO, stage
+
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: {f for f in str(disk.getAllFiles().mkString("\n")).split("\n") if "shuffle_" in f}
+    old, setting = files(), spark.conf.get(SHUFFLES_GO, None)
+    df = spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count()
+    assert stage(df, "grouped").count() == 7
+    until = time.time() + 20
+    # the count's own file goes when Spark collects it
+    while len(files() - old) > 8 and time.time() < until:
+        time.sleep(0.2)
+    tables = [stage(df, "grouped") for _ in range(5)]
+    until = time.time() + 20
+    while len(files() - old) > 8 and time.time() < until:
+        time.sleep(0.2)
+    assert len(tables) == 5 and len(files() - old) <= 8
+    assert spark.conf.get(SHUFFLES_GO, None) == setting
+
+
+def test_text_hashes_go_along_only_where_ids_repeat(spark):
+    from sparkloom.llm.line_dedup import ids_repeat
+
+    df = spark.createDataFrame([(1, "a b c\nd e f"), (2, "a b c"), (None, "g")], "doc_id long, text string")
+    assert not ids_repeat(df) and not ids_repeat(df.limit(0)) and ids_repeat(df.union(df.where("doc_id is null")))
+    assert {r["h"] for r in kept_lines(df).collect()} == {0}
+    assert 0 not in {r["h"] for r in kept_lines(df.union(df)).collect()}
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
 
