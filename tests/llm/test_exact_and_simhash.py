@@ -113,6 +113,16 @@ def test_simhash_dedup_decides_by_jaccard(spark):
     assert {r["doc_id"] for r in simhash_dedup(docs(spark, rows)).collect()} == want
 
 
+def test_further_bits_rule_out_chance_pairs():
+    rng = np.random.default_rng(8)
+    fp = rng.integers(0, 1 << 64, (600, 4), dtype=np.uint64)
+    fp[300:, :2] = fp[:300, :2] ^ np.uint64(1)  # by the first words all 300 are near
+    fp[450:, 2:] = fp[150:300, 2:] ^ np.uint64(0xFF)  # by the further ones only these
+    got = {tuple(sorted(x)) for x in propose(fp, fp, 36, True, None).tolist()}
+    assert {(k, k + 300) for k in range(150, 300)} <= got and len(got) < 160
+    assert len(propose(fp[:, :2].copy(), fp[:, :2].copy(), 36, True, None)) >= 300
+
+
 def test_links_between_parts_are_all_proposed():
     rng = np.random.default_rng(3)
     fp = np.repeat(rng.integers(0, 1 << 63, (40, 2), np.uint64), 5, axis=0)
