@@ -34,20 +34,31 @@ def q_brand_ladder(spark, sf_dir):
 
 
 @R.query("""
-    WITH a AS (SELECT p_partkey AS a, lpad((p_partkey % 501)::VARCHAR, 12, '0') AS code FROM part WHERE p_partkey % 2 = 0),
-         b AS (SELECT p_partkey AS b, CASE WHEN p_partkey % 3 = 0 THEN lpad((p_partkey % 501)::VARCHAR, 14, '0') ELSE lpad((p_partkey % 501)::VARCHAR, 10, '0') END AS code FROM part WHERE p_partkey % 2 = 1)
-    SELECT a, count(b) AS links, coalesce(min(b), -1) AS first FROM a LEFT JOIN b ON CASE WHEN length(a.code) IN (8, 12, 13, 14) THEN lpad(a.code, 14, '0') ELSE a.code END
-        = CASE WHEN length(b.code) IN (8, 12, 13, 14) THEN lpad(b.code, 14, '0') ELSE b.code END GROUP BY 1""")
+    WITH a AS (SELECT p_partkey, 'a' AS half, lpad((p_partkey % 501)::VARCHAR, 12, '0') AS code FROM part WHERE p_partkey % 2 = 0),
+         b AS (SELECT p_partkey, 'b' AS half, CASE WHEN p_partkey % 3 = 0 THEN lpad((p_partkey % 501)::VARCHAR, 14, '0') ELSE lpad((p_partkey % 501)::VARCHAR, 10, '0') END AS code FROM part WHERE p_partkey % 2 = 1),
+         m AS (SELECT p_partkey, half, CASE WHEN length(code) IN (8, 12, 13, 14) THEN lpad(code, 14, '0') ELSE code END AS code FROM (SELECT * FROM a UNION ALL SELECT * FROM b)),
+         g AS (SELECT code, min(p_partkey) AS class_id, count(*) FILTER (half = 'a') AS n_a, count(*) FILTER (half = 'b') AS n_b,
+                      coalesce(min(p_partkey) FILTER (half = 'a'), -1) AS first_a, coalesce(min(p_partkey) FILTER (half = 'b'), -1) AS first_b FROM m GROUP BY 1)
+    SELECT m.p_partkey, m.half, m.code, g.class_id, CASE m.half WHEN 'a' THEN g.n_b ELSE g.n_a END AS links, CASE m.half WHEN 'a' THEN g.first_b ELSE g.first_a END AS first
+    FROM m JOIN g USING (code)""")
 def q_gtin_join(spark, sf_dir):
-    """How many parts of the other half have a part's code in any of its lengths,
-    and the first of them or -1. Codes are counted before they meet, so no pairs are made."""
+    """Join of two halves of the parts by code, in any of its lengths: every part of
+    both with its half, the code they meet by, the class of that code (its least
+    part), its number of links and the first of them or -1. Parts are linked if they
+    share a class and not a half, so each pair of the join can be told from these
+    rows, and their number grows with the parts and not with the pairs."""
     p, k = load(spark, sf_dir, "part"), F.col("p_partkey")
-    no = (k % 501).cast("string")
-    key = lambda c: F.when(F.length(c).isin(8, 12, 13, 14), identity.gtin14(c)).otherwise(c)
-    a = p.where(k % 2 == 0).select(k.alias("a"), key(F.lpad(no, 12, "0")).alias("code"))
-    b = p.where(k % 2 == 1).select(k.alias("b"), key(F.when(k % 3 == 0, F.lpad(no, 14, "0")).otherwise(F.lpad(no, 10, "0"))).alias("code"))
-    codes = b.groupBy("code").agg(F.count("*").alias("links"), F.min("b").alias("first"))
-    return a.join(codes, "code", "left").select("a", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("first", F.lit(-1)).alias("first"))
+    no, half = (k % 501).cast("string"), F.when(k % 2 == 0, "a").when(k % 2 == 1, "b")
+    code = F.when(k % 2 == 0, F.lpad(no, 12, "0")).when(k % 3 == 0, F.lpad(no, 14, "0")).otherwise(F.lpad(no, 10, "0"))
+    m = p.select(k, half.alias("half"), code.alias("code")).where("half IS NOT NULL")
+    m = m.select(k, "half", F.when(F.length("code").isin(8, 12, 13, 14), identity.gtin14(F.col("code"))).otherwise(F.col("code")).alias("code"))
+    of = lambda f, h: f(F.when(F.col("half") == h, k))
+    g = m.groupBy("code").agg(
+        F.min(k).alias("class_id"), of(F.count, "a").alias("n_a"), of(F.count, "b").alias("n_b"),
+        F.coalesce(of(F.min, "a"), F.lit(-1)).alias("first_a"), F.coalesce(of(F.min, "b"), F.lit(-1)).alias("first_b"),
+    )
+    other = lambda c: F.when(F.col("half") == "a", F.col(f"{c}_b")).otherwise(F.col(f"{c}_a"))
+    return m.join(g, "code").select(k, "half", "code", "class_id", other("n").alias("links"), other("first").alias("first"))
 
 
 @R.query(r"""
