@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
+import math
 
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -128,12 +128,13 @@ CUE_OF = {4: "mail", 5: "ip", 6: "card", 7: "phone", 8: "iban", 9: "id"}
 
 def _fitted(parts: DataFrame, sample: int, precision: float) -> tuple[Column, dict[int, float], list[dict]] | None:
     """Score column, threshold by kind and calibration; None where no two classes
-    are there. Matches of the base patterns and other candidates of each kind have
-    equal shares of ``sample``, those with the smallest hashes.
+    are there. All candidates count. Matches of the base patterns and other
+    candidates of each kind weigh as much as an equal share of ``sample`` at most,
+    so that no frequent kind drowns a rare one; each has a part in that weight.
 
     Nobody has marked spans here, so labels are distant: a candidate counts as
     personal if it passes the check of its kind or a cue of its kind stands in
-    front of it. Trees see neither, and are fitted on four fifths of the sample.
+    front of it. Trees see neither, and are fitted on four fifths of all, by hash.
     On the rest, a kind's threshold is the lowest score, in steps of a twentieth,
     from which on the share of personal ones among the candidates that fail the
     check, as only those are to be decided, reaches ``precision``.
@@ -143,21 +144,22 @@ def _fitted(parts: DataFrame, sample: int, precision: float) -> tuple[Column, di
         F.transform("sure", lambda x: F.struct(x.alias("c"), F.lit(1.0).alias("sure"))),
         F.transform("open", lambda x: F.struct(x.alias("c"), F.lit(0.0).alias("sure"))),
     )).alias("x")).select("x.c", "x.sure")
-    hashed = both.select("*", F.xxhash64("c").alias("h"))
+    every = _featured(both).select(*FEATURES, "sure", F.greatest("sure", cue).alias("label"), (F.pmod(F.xxhash64("c"), F.lit(5)) == 0).alias("rest"))
+    rows = stage(every.groupBy(*FEATURES, "sure", "label", "rest").agg(F.count("*").alias("n")), "pii-rows")
+    sizes = rows.groupBy("kind", "sure").agg(F.sum("n").alias("all"))  # at most twice for each kind
     share = max(1, sample // (2 * len(CUE_OF)))
-    groups = [(k, 0.0) for k in CUE_OF] + [(k, 1.0) for k in range(4, 8)]
-    shares = [hashed.where((F.col("c.kind") == k) & (F.col("sure") == sure)).orderBy("h").limit(share) for k, sure in groups]
-    drawn = stage(reduce(DataFrame.unionAll, shares), "pii-drawn")
-    train = _featured(drawn).select(*FEATURES, "sure", F.greatest("sure", cue).alias("label"), (F.pmod("h", F.lit(5)) == 0).alias("rest"))
-    train = stage(VectorAssembler(inputCols=FEATURES, outputCol="features").transform(train), "pii-sample")
-    if train.where("not rest").agg(F.count_distinct("label")).first()[0] < 2:
+    rows = rows.join(F.broadcast(sizes), ["kind", "sure"]).withColumn("weight", F.col("n") * F.least(F.lit(1.0), share / F.col("all")))
+    train = stage(VectorAssembler(inputCols=FEATURES, outputCol="features").transform(rows), "pii-train")
+    fit = train.where("not rest")
+    if fit.agg(F.count_distinct("label")).first()[0] < 2:
         return None
-    gbt = GBTClassifier(maxIter=12, maxDepth=3, stepSize=0.3, seed=3, checkpointInterval=-1, cacheNodeIds=False)
-    model = gbt.fit(train.where("not rest").coalesce(2))
+    bins = max(32, math.isqrt(fit.count()) + 1)  # with fewer, Spark draws rows to find splits once they exceed the square
+    gbt = GBTClassifier(maxIter=12, maxDepth=3, stepSize=0.3, seed=3, checkpointInterval=-1, cacheNodeIds=False, maxBins=bins, weightCol="weight")
+    model = gbt.fit(fit)
     raw = sum((F.lit(w) * _tree(t._call_java("rootNode")) for w, t in zip(model.treeWeights, model.trees, strict=True)), F.lit(0.0))
     score = 1 / (1 + F.exp(-2 * raw))
-    steps = train.where("rest").select("kind", "sure", "label", F.floor(score * 20).alias("step")).groupBy("kind", "sure", "step").agg(
-        F.count("*").alias("n"), F.sum("label").alias("hits")
+    steps = train.where("rest").select("kind", "sure", "label", "n", F.floor(score * 20).alias("step")).groupBy("kind", "sure", "step").agg(
+        F.sum("n").alias("n"), F.sum(F.col("label") * F.col("n")).alias("hits")
     ).collect()  # at most 20 steps of each kind, twice
     cuts = {}
     for kind in CUE_OF:
@@ -198,13 +200,13 @@ def pii_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     surroundings, and stay from their kind's threshold on, unless they overlap one
     with a higher score. A cue word of their kind in front keeps them too: it is
     what the trees learn from, so they add candidates that look like those with a
-    cue and lack it. The trees are fitted on a bounded sample with equal shares of
-    the kinds; scores cover all candidates of whole texts. A kind has no threshold
+    cue and lack it. Trees and thresholds rest on all candidates of whole texts,
+    counted by their features; ``sample`` bounds how much a kind weighs. A kind has no threshold
     where too few were held out or none reaches ``precision``.
 
     Null text counts as empty and has no spans. Rows with null ids are scanned
     like others; repeated rows each get the same spans; other columns are
-    ignored; no rows give no rows. Where the sample has a single class, no kind
+    ignored; no rows give no rows. Where they have a single class, no kind
     has a threshold. Candidates, not texts, are shuffled.
     """
     parts = stage(_parts(docs, id_col, text_col), "candidates")
