@@ -13,6 +13,10 @@ ODD = "\t\x0b\x0c\r"
 NUM, DEN = 4, 5
 #: Buckets of token hashes whose tokens are counted.
 BUCKET_BITS = 16
+#: Places of words within a line, more than a text has; the bits above them hold the key of a run.
+PLACES = 1 << 30
+#: Classes that post a token up to which all its pairs are met; those of more common tokens post anew, by rarity.
+COMMON = 1024
 #: Entries up to which a table of ids with line numbers is broadcast; a larger one is joined by shuffles.
 BROADCAST_LINES = 1_000_000
 NO_ID = -(2**63)
@@ -65,22 +69,20 @@ def _runs(width: int) -> Column:
 
 
 def _hash(run, width: int) -> Column:
-    return F.xxhash64(*(run[f"w{k}"] if run is not None else F.col(f"w{k}") for k in range(width)))
+    return F.xxhash64(*(run[f"w{k}"] for k in range(width)))
 
 
 def _bucket(h: Column) -> Column:
     return F.shiftrightunsigned(h, 64 - BUCKET_BITS).cast("int")
 
 
-def _levels(lines: DataFrame, width: int) -> DataFrame:
-    """One row: for each bucket of token hashes its level, 0 where the number of
-    tokens of all lines that fall there is at most a tenth above the mean, and one
-    more for each further 19 %. The table has a fixed size, whatever is counted; the tokens that
+def _levels(tokens: DataFrame) -> DataFrame:
+    """One row: for each bucket of hashes its level, 0 where the rows of ``tokens``
+    that fall there are at most a tenth above the mean, and one more for each
+    further 19 %. The table has a fixed size, whatever is counted; the tokens that
     stand out of their buckets are those with a large share of all."""
-    # the plain form computes what it explodes twice, to filter on it
-    each = lines.select(_hashed_words().alias("w")).select(F.inline_outer(_runs(width)))
-    counts = each.groupBy(_bucket(_hash(None, width)).alias("b")).agg(F.count("*").alias("n"))
-    every = lines.sparkSession.range(0, 1 << BUCKET_BITS, numPartitions=1).select(F.col("id").cast("int").alias("b"))
+    counts = tokens.groupBy(_bucket(F.col("token")).alias("b")).agg(F.count("*").alias("n"))
+    every = tokens.sparkSession.range(0, 1 << BUCKET_BITS, numPartitions=1).select(F.col("id").cast("int").alias("b"))
     both = every.join(F.broadcast(counts), "b", "left").agg(F.array_sort(F.collect_list(F.struct("b", F.coalesce("n", F.lit(0)).alias("n")))).alias("ns"), F.sum("n").alias("all"))
     over = lambda n: F.greatest(F.lit(0), F.ceil(4 * F.log2((n + 1) * (1 << BUCKET_BITS) / (1.1 * (F.col("all") + 1)))))
     return both.select(F.transform("ns", lambda x: over(x["n"]).cast("tinyint")).alias("levels"))
@@ -90,13 +92,43 @@ def _level(levels: Column, h: Column) -> Column:
     return F.get(levels, _bucket(h))
 
 
+def _kept_of(n: Column) -> Column:
+    """How many of ``n`` tokens are posted: two similar sets share one of them,
+    in whatever order all sets have their tokens."""
+    return (n - F.floor((NUM * n + DEN - 1) / DEN) + 1).cast("int")
+
+
+def _anchored(lines: DataFrame, width: int) -> DataFrame:
+    """``lines`` (w) with the number ``n`` of their runs, the least number ``m`` of
+    different ones, and as ``prefix`` the runs that come first by the key of their
+    first two words. Only these are hashed as a whole.
+
+    All runs with the key of the last one go along, so a prefix is all there is
+    up to a key, and holds as many different runs as ``_kept_of`` asks for; where
+    repeated runs leave fewer, all runs are posted.
+    """
+    n, k = F.greatest(F.size("w") - (width - 1), F.lit(1)), F.col("k")
+    pairs = F.zip_with(F.slice("h", F.lit(1), F.col("n")), F.slice("h", F.lit(2), F.col("n")), lambda x, y: x.bitwiseXOR(y))
+    pairs = F.when(F.size("h") >= width, pairs).otherwise(F.array(F.xxhash64("h")))
+    keys = F.sort_array(F.transform("pairs", lambda x, i: x.bitwiseAND(F.lit(-PLACES)) + i))
+    run = lambda key: F.xxhash64(F.slice("w", key.bitwiseAND(F.lit(PLACES - 1)).cast("int") + 1, width))
+    some = lines.select("*", _hashed_words().alias("h"), n.alias("n"), _kept_of(n).alias("k")).select("*", pairs.alias("pairs"))
+    some = some.select(*lines.columns, "n", "k", F.size(F.array_distinct("pairs")).alias("m"), keys.alias("keys"))
+    some = some.select("*", F.get("keys", k - 1).bitwiseOR(F.lit(PLACES - 1)).alias("end"))
+    tied = F.coalesce(F.get("keys", k) <= F.col("end"), F.lit(False))
+    first = F.when(tied, F.filter("keys", lambda x: x <= F.col("end"))).otherwise(F.slice("keys", F.lit(1), k))
+    some = some.select("*", F.array_distinct(F.transform(first, run)).alias("some"))
+    prefix = F.when(F.size("some") >= k, F.col("some")).otherwise(F.array_distinct(F.transform("keys", run)))
+    return some.select(*lines.columns, "n", "m", prefix.alias("prefix"))
+
+
 def _posted(hashed: DataFrame) -> DataFrame:
     """``hashed`` with the first n - ceil(s*n) + 1 of the n sorted ``tokens`` as
     ``prefix``, those of level 0 first and the others by their levels. Most lines
     have enough of level 0 among twice as many of the smallest hashes; only the
     others are ordered as a whole."""
     n = F.size("tokens")
-    k = (n - F.floor((NUM * n + DEN - 1) / DEN) + 1).cast("int")
+    k = _kept_of(n)
     plain = F.filter(F.slice("tokens", F.lit(1), 2 * k), lambda x: _level(F.col("levels"), x) == 0)
     ordered = F.array_sort(F.transform("tokens", lambda x: F.struct(_level(F.col("levels"), x).alias("l"), x.alias("x"))))
     prefix = F.when(F.size("plain") >= k, F.slice("plain", F.lit(1), k)).otherwise(F.transform(F.slice(ordered, F.lit(1), k), lambda x: x["x"]))
@@ -121,21 +153,21 @@ def _by_row(table: DataFrame, docs: DataFrame, entries: int) -> DataFrame:
     return docs.join(F.broadcast(table) if entries <= BROADCAST_LINES else table, ["id", "h"])
 
 
-def _shared(posts: DataFrame, levels: DataFrame) -> DataFrame:
-    """``posts`` (token, id, no, h, n, i) of the tokens that two or more classes
-    post, with the number of its posts and the least id among them.
+def _shared(posts: DataFrame, levels: DataFrame, put) -> DataFrame:
+    """``posts`` (token, id, no, h, ...) of the tokens that two or more classes
+    post, with the number ``size`` of its posts and the post ``f`` of the earliest.
 
-    Tokens of level 0 hold at most 1.1 / 2**BUCKET_BITS of all tokens each, so a
-    token's posts meet in one task. Those above are counted with partial sums
+    Tokens up to level 3 hold at most 1.9 / 2**BUCKET_BITS of all posts each, so
+    a token's posts meet in one task. Those above are counted with partial sums
     and joined back, where Spark can split a token over tasks.
     """
     marked = posts.withColumn("levels", levels.scalar())
-    marked = marked.select(*posts.columns, (_level(F.col("levels"), F.col("token")) > 0).alias("high"))
-    group = Window.partitionBy("token")
-    low = marked.where("not high").withColumns({"size": F.count("*").over(group), "low": F.min("id").over(group)}).where("size > 1")
-    sizes = marked.where("high").groupBy("token").agg(F.count("*").alias("size"), F.min("id").alias("low")).where("size > 1")
-    top = marked.where("high").join(sizes, "token")
-    columns = [*posts.columns, "size", "low"]
+    marked = marked.select(*posts.columns, (_level(F.col("levels"), F.col("token")) > 3).alias("high"))
+    group, post = Window.partitionBy("token"), F.struct(*(c for c in posts.columns if c != "token"))
+    low = marked.where("not high").withColumns({"size": F.count("*").over(group), "f": F.min(post).over(group)}).where("size > 1")
+    high = put(marked.where("high").select(posts.columns), "high")
+    top = high.join(high.groupBy("token").agg(F.count("*").alias("size"), F.min(post).alias("f")).where("size > 1"), "token")
+    columns = [*posts.columns, "size", "f"]
     return low.select(*columns).unionByName(top.select(*columns))
 
 
@@ -145,18 +177,21 @@ def kept_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     not counted. ``hashed`` is that of ``row_key``, by default whether ids repeat.
 
     A line's tokens are its distinct runs of ``width`` words, or all its words
-    where they are fewer, ranked by how many tokens share their bucket of hashes.
+    where they are fewer, ordered by a hash of their first two words.
     A line goes if an earlier line, by id, line number and hash of the text, has
     a Jaccard similarity of NUM/DEN or more to it, whether that one stays or not.
     Lines with the same words are one class, which its first line stands for. Of
-    n tokens in the order of rarity, n - ceil(s*n) + 1 are posted: two similar
-    sets share one of them. Length and position of a shared token bound the
+    n tokens in that order, n - ceil(s*n) + 1 are posted: two similar
+    sets share one of them. Lengths and the number of shared posts bound the
     overlap; what passes is verified on all tokens of both lines.
 
     So that large groups of near copies cost no pairs, every class is first
     compared with the earliest class of each of its tokens only; just those
-    that no such comparison removes go on to meet all earlier ones. Each time
-    texts are read again for the lines of the pairs alone.
+    that no such comparison removes go on to meet all earlier ones. Where these
+    share a token of more than COMMON classes, the classes of that token post
+    anew, ordered by how many of their tokens share a bucket of hashes, so that
+    common passages come last; there positions bound the overlap too. Each time
+    texts are read again for the lines in question alone.
 
     Rows that share id and text are one document and lose the same lines; rows
     that share only the id, or have none, are documents of their own. Null ids
@@ -173,44 +208,70 @@ def kept_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         most = F.least(na - ia, nb - ib)
         return (DEN * F.least(na, nb) >= NUM * F.greatest(na, nb)) & ((NUM + DEN) * most >= NUM * (na + nb))
 
+    def alike(pairs: DataFrame) -> DataFrame:
+        """The (x, y) among ``pairs``, a row for each token that both post, that
+        have enough of them. One of two similar classes, with p posts, n runs and
+        m different ones at least, posts nothing that the other would not if it
+        had it; so all of its p but n - o are shared, with an overlap o of
+        NUM/(NUM+DEN) of both sizes or more."""
+        least = lambda p, n, m: (NUM + DEN) * c(p) - DEN * c(n) + NUM * c(m)
+        long_enough = (DEN * c("n") >= NUM * c("my")) & (DEN * c("ny") >= NUM * c("m"))
+        counted = pairs.where(long_enough).groupBy("x", "n", "m", "p", "y", "ny", "my", "py").agg(F.count("*").alias("met"))
+        return counted.where((NUM + DEN) * c("met") >= F.least(least("p", "n", "my"), least("py", "ny", "m"))).select("x", "y")
+
+    def sets(put, wanted: DataFrame) -> DataFrame:
+        """(line, tokens) of the lines ``wanted`` (x), from their texts."""
+        wanted = put(wanted.groupBy("x.id", "x.h").agg(F.collect_list("x.no").alias("nos")), "wanted")
+        entries = wanted.agg(F.sum(F.size("nos"))).first()[0] or 0
+        texts = docs.select(*row_key(docs, id_col, text_col, hashed), text_or_empty(docs, text_col).alias("text"))
+        texts = _by_row(wanted, texts, entries).select("id", "h", "nos", F.split(_blanks(c("text")), "\n", -1).alias("all"))
+        found = texts.select("id", "h", F.explode("nos").alias("no"), "all").select("id", "no", "h", _words(F.get("all", c("no"))).alias("w"))
+        return put(found.select(line.alias("line"), _hashed_words().alias("w")).select("line", _tokens(width).alias("tokens")), "sets")
+
     def similar(put, pairs: DataFrame) -> DataFrame:
         """(x) of the pairs (x, y) whose token sets reach the similarity."""
         met = pairs.select(F.explode(F.array("x", "y")).alias("x")).distinct()
-        wanted = put(met.groupBy("x.id", "x.h").agg(F.collect_list("x.no").alias("nos")), "wanted")
-        entries = wanted.agg(F.sum(F.size("nos"))).first()[0] or 0
-        split = docs.select(*row_key(docs, id_col, text_col, hashed), F.split(_blanks(text_or_empty(docs, text_col)), "\n", -1).alias("all"))
-        found = _by_row(wanted, split, entries).select("id", "h", F.explode("nos").alias("no"), "all").select("id", "no", "h", _words(F.get("all", c("no"))).alias("w"))
-        sets = put(found.select(line.alias("line"), _hashed_words().alias("w")).select("line", _tokens(width).alias("tokens")), "sets")
-        return put(_similar(pairs, sets).select("x").distinct(), "gone")
+        return put(_similar(pairs, sets(put, met)).select("x").distinct(), "gone")
+
+    def common(put, led: DataFrame, asking: DataFrame) -> DataFrame:
+        """(x) of the classes ``asking`` (token, x) that are similar to an earlier
+        one of the classes in ``led`` that post one of their tokens."""
+        met = led.join(asking.select("token").distinct(), "token", "left_semi").select("x").distinct()
+        all_sets = sets(put, met).select("line", F.sort_array("tokens").alias("tokens"))
+        levels = put(_levels(all_sets.select(F.explode("tokens").alias("token"))), "levels")
+        # a column of its own as subqueries may not stand in a lambda; the optimizer puts it back as a constant
+        posts = _posted(all_sets.select("*", levels.scalar().alias("levels")))
+        posts = posts.select("line.*", "n", F.posexplode("prefix").alias("i", "token")).select("token", "id", "no", "h", "n", "i")
+        shared = put(_shared(posts, levels, put).select("token", line.alias("x"), "n", "i"), "shared")
+        a = shared.select("token", "x", c("n").alias("na"), c("i").alias("ia")).join(asking.select("x").distinct(), "x", "left_semi")
+        b = shared.select("token", c("x").alias("y"), c("n").alias("nb"), c("i").alias("ib"))
+        pairs = put(a.join(b, "token").where((c("y") < c("x")) & possible("na", "ia", "nb", "ib")).select("x", "y").distinct(), "pairs")
+        return put(_similar(pairs, all_sets).select("x").distinct(), "gone")
 
     with scratch(docs.sparkSession) as put:
         with scratch(docs.sparkSession) as early:
-            lines = _lines(docs, id_col, text_col, hashed)
-            levels = early(_levels(lines, width), "levels")
-            # a column of its own as subqueries may not stand in a lambda; the optimizer puts it back as a constant
-            told = lines.select(line.alias("line"), F.xxhash64("w").alias("c1"), F.hash("w").alias("c2"), _hashed_words().alias("w"))
-            told = told.select("line", "c1", "c2", F.sort_array(_tokens(width)).alias("tokens"), levels.scalar().alias("levels"))
-            classed = _posted(told).groupBy("c1", "c2", "n")
-            classes = early(classed.agg(F.min("line").alias("line"), F.any_value("prefix").alias("prefix")).select("line", "n", "prefix"), "classes")
+            lines = _lines(docs, id_col, text_col, hashed).select(line.alias("line"), F.xxhash64("w").alias("c1"), F.hash("w").alias("c2"), "w")
+            classed = _anchored(lines, width).groupBy("c1", "c2", "n")
+            classes = early(classed.agg(F.min("line").alias("line"), F.any_value("m").alias("m"), F.any_value("prefix").alias("prefix")).select("line", "n", "m", "prefix"), "classes")
             every = put(classes.select("line"), "lines")
 
-            posts = classes.select("line.*", "n", F.posexplode("prefix").alias("i", "token")).select("token", "id", "no", "h", "n", "i")
-            shared = early(_shared(posts, levels), "shared")
-            first = shared.where("id = low").groupBy("token").agg(F.min(F.struct("id", "no", "h", "n", "i")).alias("f"))
-            first = first.select("token", F.struct("f.id", "f.no", "f.h").alias("y"), c("f.n").alias("ny"), c("f.i").alias("iy"))
-            led = shared.join(first, "token").select("token", line.alias("x"), c("n").alias("nx"), c("i").alias("ix"), "y", "ny", "iy", "size")
-            led = put(led.where("x <> y"), "led")
+            posts = classes.select("line.*", "n", "m", F.size("prefix").alias("p"), F.explode("prefix").alias("token")).select("token", "id", "no", "h", "n", "m", "p")
+            levels = early(_levels(posts), "levels")
+            first = [F.struct("f.id", "f.no", "f.h").alias("y"), c("f.n").alias("ny"), c("f.m").alias("my"), c("f.p").alias("py")]
+            led = put(_shared(posts, levels, early).select("token", line.alias("x"), "n", "m", "p", *first, "size"), "led")
 
-        pairs = put(led.where(possible("nx", "ix", "ny", "iy")).select("x", "y").distinct(), "pairs")
+        pairs = put(alike(led.where("x <> y")), "pairs")
         with scratch(docs.sparkSession) as early:
             gone = put(similar(early, pairs), "gone")
-        others = led.where("size > 2")  # of the tokens that more than the first and one other class post
-        a = others.join(gone, "x", "left_anti").select("token", "x", c("nx").alias("na"), c("ix").alias("ia"))
-        b = others.select("token", c("x").alias("y"), c("nx").alias("nb"), c("ix").alias("ib"))
-        rest = a.join(b, "token").where((c("y") < c("x")) & possible("na", "ia", "nb", "ib"))
-        rest = put(rest.select("x", "y").distinct(), "rest")
+        left = led.where("x <> y").select("token", "x", "n", "m", "p", "size").join(gone, "x", "left_anti")
+        others = led.select("token", c("x").alias("y"), c("n").alias("ny"), c("m").alias("my"), c("p").alias("py"))
+        rest = put(alike(left.where(c("size") <= COMMON).join(others, "token").where("y < x")).join(pairs, ["x", "y"], "left_anti"), "rest")
         with scratch(docs.sparkSession) as early:
             gone = gone.union(put(similar(early, rest), "gone"))
+        asking = put(left.where(c("size") > COMMON).join(gone, "x", "left_anti").select("token", "x"), "asking")
+        if not asking.isEmpty():
+            with scratch(docs.sparkSession) as early:
+                gone = gone.union(put(common(early, led, asking), "gone"))
         stay = every.join(gone, c("line") == c("x"), "left_anti")
         return stage(stay.groupBy("line.id", "line.h").agg(F.array_sort(F.collect_set("line.no")).alias("kept")), "kept")
 
@@ -220,8 +281,8 @@ def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ``row_key``, the numbers of its lines with words and of those that stay, as
     ``kept_lines`` finds them."""
     hashed = ids_repeat(docs, id_col) if hashed is None else hashed
-    lines = F.split(text_or_empty(docs, text_col), "\n", -1)
-    worded = F.array_compact(F.transform(lines, lambda x, k: F.when(has_words(x), k)))
+    lines = F.split(_blanks(text_or_empty(docs, text_col)), "\n", -1)
+    worded = F.array_compact(F.transform(lines, lambda x, k: F.when(F.trim(x) != "", k)))
     rows = docs.select(docs[id_col].alias(id_col), *(k.alias(f"{n}_") for k, n in zip(row_key(docs, id_col, text_col, hashed), "ih", strict=True)), worded.alias("worded"))
     kept = kept_lines(docs, id_col, text_col, width, hashed).withColumnsRenamed({"id": "i_", "h": "h_"})
     return rows.join(kept, ["i_", "h_"], "left").select(
@@ -229,10 +290,6 @@ def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
 
 
-def has_words(line: Column) -> Column:
-    return line.rlike(r"[^\x20\x09-\x0D]")
-
-
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5) -> DataFrame:
     """``docs`` with the lines that ``kept_lines`` removes cut from the text, and
     without the documents that lose all lines that had words. Lines without
