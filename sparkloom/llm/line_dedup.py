@@ -13,6 +13,9 @@ ODD = "\t\x0b\x0c\r"
 NUM, DEN = 4, 5
 #: Buckets of token hashes whose tokens are counted.
 BUCKET_BITS = 16
+HALF = 1 << (BUCKET_BITS - 1)
+#: Tokens up to which a line keeps them all in the first pass.
+SHORT = 24
 #: Entries up to which a table of ids with line numbers is broadcast; a larger one is joined by shuffles.
 BROADCAST_LINES = 1_000_000
 NO_ID = -(2**63)
@@ -64,25 +67,44 @@ def _runs(width: int) -> Column:
     return F.when(size >= width, runs).otherwise(short)
 
 
-def _hash(run, width: int) -> Column:
-    return F.xxhash64(*(run[f"w{k}"] if run is not None else F.col(f"w{k}") for k in range(width)))
+def _tokens(width: int) -> Column:
+    """The distinct tokens of the hashed words ``w``."""
+    return F.array_distinct(F.transform(_runs(width), lambda r: F.xxhash64(*(r[f"w{k}"] for k in range(width)))))
 
 
 def _bucket(h: Column) -> Column:
-    return F.shiftrightunsigned(h, 64 - BUCKET_BITS).cast("int")
-
-
-def _levels(lines: DataFrame, width: int) -> DataFrame:
-    """One row: for each bucket of token hashes its level, 0 where the number of
-    tokens of all lines that fall there is at most a tenth above the mean, and one
-    more for each further 19 %. The table has a fixed size, whatever is counted; the tokens that
-    stand out of their buckets are those with a large share of all."""
-    # the plain form computes what it explodes twice, to filter on it
-    each = lines.select(_hashed_words().alias("w")).select(F.inline_outer(_runs(width)))
-    counts = each.groupBy(_bucket(_hash(None, width)).alias("b")).agg(F.count("*").alias("n"))
-    every = lines.sparkSession.range(0, 1 << BUCKET_BITS, numPartitions=1).select(F.col("id").cast("int").alias("b"))
-    both = every.join(F.broadcast(counts), "b", "left").agg(F.array_sort(F.collect_list(F.struct("b", F.coalesce("n", F.lit(0)).alias("n")))).alias("ns"), F.sum("n").alias("all"))
-    over = lambda n: F.greatest(F.lit(0), F.ceil(4 * F.log2((n + 1) * (1 << BUCKET_BITS) / (1.1 * (F.col("all") + 1)))))
+    """Bucket of a hash; they are in the order of the hashes."""
+    return F.shiftrightunsigned(h.bitwiseXOR(F.lit(NO_ID)), 64 - BUCKET_BITS).cast("int")
+
+
+def _posts(n: Column) -> Column:
+    """How many of n tokens are posted."""
+    return (n - F.floor((NUM * n + DEN - 1) / DEN) + 1).cast("int")
+
+
+def _classes(lines: DataFrame, width: int) -> DataFrame:
+    """(line, n, some) of each class of lines with the same words: its first line,
+    the number of its tokens and in order all of them where the line is short,
+    else those in the lower half of the hash space."""
+    told = lines.select(F.struct("id", "no", "h").alias("line"), F.xxhash64("w").alias("c1"), F.hash("w").alias("c2"), _hashed_words().alias("w"))
+    told = told.select("line", "c1", "c2", F.sort_array(_tokens(width)).alias("tokens"))
+    n = F.size("tokens")
+    some = F.when(n <= SHORT, F.col("tokens")).otherwise(F.filter("tokens", lambda x: x < 0))
+    classed = told.select("line", "c1", "c2", n.alias("n"), some.alias("some")).groupBy("c1", "c2", "n")
+    return classed.agg(F.min("line").alias("line"), F.any_value("some").alias("some")).select("line", "n", "some")
+
+
+def _levels(tokens: DataFrame, first: int) -> DataFrame:
+    """One row: for each of the HALF buckets from ``first`` its level, 0 where the
+    rows of ``tokens`` (token) that fall there are at most a tenth above the mean of
+    these buckets, and one more for each further 19 %. The table has a fixed
+    size, whatever is counted; the tokens that stand out of their buckets are those
+    with a large share of all."""
+    counts = tokens.groupBy(_bucket(F.col("token")).alias("b")).agg(F.count("*").alias("n"))
+    every = tokens.sparkSession.range(first, first + HALF, numPartitions=1).select(F.col("id").cast("int").alias("b"))
+    both = every.join(F.broadcast(counts), "b", "left").select("b", F.coalesce("n", F.lit(0)).alias("n"))
+    both = both.agg(F.array_sort(F.collect_list(F.struct("b", "n"))).alias("ns"), F.sum("n").alias("all"))
+    over = lambda n: F.greatest(F.lit(0), F.ceil(4 * F.log2((n + 1) * HALF / (1.1 * (F.col("all") + 1)))))
     return both.select(F.transform("ns", lambda x: over(x["n"]).cast("tinyint")).alias("levels"))
 
 
@@ -90,21 +112,15 @@ def _level(levels: Column, h: Column) -> Column:
     return F.get(levels, _bucket(h))
 
 
-def _posted(hashed: DataFrame) -> DataFrame:
-    """``hashed`` with the first n - ceil(s*n) + 1 of the n sorted ``tokens`` as
-    ``prefix``, those of level 0 first and the others by their levels. Most lines
-    have enough of level 0 among twice as many of the smallest hashes; only the
-    others are ordered as a whole."""
-    n = F.size("tokens")
-    k = (n - F.floor((NUM * n + DEN - 1) / DEN) + 1).cast("int")
-    plain = F.filter(F.slice("tokens", F.lit(1), 2 * k), lambda x: _level(F.col("levels"), x) == 0)
-    ordered = F.array_sort(F.transform("tokens", lambda x: F.struct(_level(F.col("levels"), x).alias("l"), x.alias("x"))))
+def _posted(whole: DataFrame) -> DataFrame:
+    """``whole`` with the number ``n`` of its sorted ``tokens`` and those it posts
+    as ``prefix``, those of level 0 first and the others by their levels. Only
+    lines with too few of level 0 are ordered as a whole."""
+    n, k = F.size("tokens"), _posts(F.size("tokens"))
+    plain = F.filter("tokens", lambda x: _level(F.col("levels"), x) == 0)
+    ordered = F.sort_array(F.transform("tokens", lambda x: F.struct(_level(F.col("levels"), x).alias("l"), x.alias("x"))))
     prefix = F.when(F.size("plain") >= k, F.slice("plain", F.lit(1), k)).otherwise(F.transform(F.slice(ordered, F.lit(1), k), lambda x: x["x"]))
-    return hashed.select("*", plain.alias("plain")).select("*", n.alias("n"), prefix.alias("prefix"))
-
-
-def _tokens(width: int) -> Column:
-    return F.array_distinct(F.transform(_runs(width), lambda r: _hash(r, width)))
+    return whole.select("*", plain.alias("plain")).select("*", n.alias("n"), prefix.alias("prefix"))
 
 
 def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -122,10 +138,10 @@ def _by_row(table: DataFrame, docs: DataFrame, entries: int) -> DataFrame:
 
 
 def _shared(posts: DataFrame, levels: DataFrame) -> DataFrame:
-    """``posts`` (token, id, no, h, n, i) of the tokens that two or more classes
+    """``posts`` (token, id, no, h, ...) of the tokens that two or more classes
     post, with the number of its posts and the least id among them.
 
-    Tokens of level 0 hold at most 1.1 / 2**BUCKET_BITS of all tokens each, so a
+    Tokens of level 0 hold little more than the mean of a bucket each, so a
     token's posts meet in one task. Those above are counted with partial sums
     and joined back, where Spark can split a token over tasks.
     """
@@ -145,7 +161,7 @@ def kept_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     not counted. ``hashed`` is that of ``row_key``, by default whether ids repeat.
 
     A line's tokens are its distinct runs of ``width`` words, or all its words
-    where they are fewer, ranked by how many tokens share their bucket of hashes.
+    where they are fewer, ordered by how many classes share their bucket of hashes.
     A line goes if an earlier line, by id, line number and hash of the text, has
     a Jaccard similarity of NUM/DEN or more to it, whether that one stays or not.
     Lines with the same words are one class, which its first line stands for. Of
@@ -153,6 +169,12 @@ def kept_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     sets share one of them. Length and position of a shared token bound the
     overlap; what passes is verified on all tokens of both lines.
 
+    Rare tokens come first, by their hashes, so a long line posts from the lower
+    half of the hash space, and only its tokens there are kept; what is common
+    there is counted on all lines. The few lines with too few rare ones among them are
+    read again as a whole, and what is common in the upper half is counted on them
+    and the short lines, as no others post there.
+
     So that large groups of near copies cost no pairs, every class is first
     compared with the earliest class of each of its tokens only; just those
     that no such comparison removes go on to meet all earlier ones. Each time
@@ -173,26 +195,44 @@ def kept_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         most = F.least(na - ia, nb - ib)
         return (DEN * F.least(na, nb) >= NUM * F.greatest(na, nb)) & ((NUM + DEN) * most >= NUM * (na + nb))
 
+    def sets(put, wanted: DataFrame) -> DataFrame:
+        """(line, tokens) of the lines ``wanted`` (x), from their texts."""
+        wanted = put(wanted.groupBy("x.id", "x.h").agg(F.collect_list("x.no").alias("nos")), "wanted")
+        entries = wanted.agg(F.sum(F.size("nos"))).first()[0] or 0
+        texts = docs.select(*row_key(docs, id_col, text_col, hashed), text_or_empty(docs, text_col).alias("text"))
+        found = _by_row(wanted, texts, entries).select("id", "h", F.split(_blanks(c("text")), "\n", -1).alias("all"), F.explode("nos").alias("no"))
+        found = found.select(line.alias("line"), _words(F.get("all", c("no"))).alias("w"))
+        return put(found.select("line", _hashed_words().alias("w")).select("line", _tokens(width).alias("tokens")), "sets")
+
     def similar(put, pairs: DataFrame) -> DataFrame:
         """(x) of the pairs (x, y) whose token sets reach the similarity."""
         met = pairs.select(F.explode(F.array("x", "y")).alias("x")).distinct()
-        wanted = put(met.groupBy("x.id", "x.h").agg(F.collect_list("x.no").alias("nos")), "wanted")
-        entries = wanted.agg(F.sum(F.size("nos"))).first()[0] or 0
-        split = docs.select(*row_key(docs, id_col, text_col, hashed), F.split(_blanks(text_or_empty(docs, text_col)), "\n", -1).alias("all"))
-        found = _by_row(wanted, split, entries).select("id", "h", F.explode("nos").alias("no"), "all").select("id", "no", "h", _words(F.get("all", c("no"))).alias("w"))
-        sets = put(found.select(line.alias("line"), _hashed_words().alias("w")).select("line", _tokens(width).alias("tokens")), "sets")
-        return put(_similar(pairs, sets).select("x").distinct(), "gone")
+        return put(_similar(pairs, sets(put, met)).select("x").distinct(), "gone")
+
+    def prefixes(put, classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(line, n, prefix) of the classes and the levels by bucket."""
+        low = put(_levels(classes.select(F.explode("some").alias("token")).where("token < 0"), 0), "low")
+        # a column of its own as subqueries may not stand in a lambda; the optimizer puts it back as a constant
+        long = classes.where(c("n") > SHORT).select("line", "n", "some", low.scalar().alias("levels"))
+        long = long.select("line", "n", F.filter("some", lambda x: _level(c("levels"), x) == 0).alias("plain"))
+        k = _posts(c("n"))
+        long = put(long.select("line", "n", F.when(F.size("plain") >= k, F.slice("plain", F.lit(1), k)).alias("prefix")), "long")
+        few = put(long.where("prefix is null").select(c("line").alias("x")), "few")
+        whole = classes.where(c("n") <= SHORT).select("line", c("some").alias("tokens"))
+        if not few.isEmpty():
+            whole = whole.unionByName(sets(put, few))
+        high = put(_levels(whole.select(F.explode("tokens").alias("token")).where("token >= 0"), HALF), "high")
+        levels = put(low.crossJoin(high.select(c("levels").alias("upper"))).select(F.concat("levels", "upper").alias("levels")), "levels")
+        whole = _posted(whole.select("line", F.sort_array("tokens").alias("tokens"), levels.scalar().alias("levels")))
+        return long.where("prefix is not null").unionByName(whole.select("line", "n", "prefix")), levels
 
     with scratch(docs.sparkSession) as put:
         with scratch(docs.sparkSession) as early:
-            lines = _lines(docs, id_col, text_col, hashed)
-            levels = early(_levels(lines, width), "levels")
-            # a column of its own as subqueries may not stand in a lambda; the optimizer puts it back as a constant
-            told = lines.select(line.alias("line"), F.xxhash64("w").alias("c1"), F.hash("w").alias("c2"), _hashed_words().alias("w"))
-            told = told.select("line", "c1", "c2", F.sort_array(_tokens(width)).alias("tokens"), levels.scalar().alias("levels"))
-            classed = _posted(told).groupBy("c1", "c2", "n")
-            classes = early(classed.agg(F.min("line").alias("line"), F.any_value("prefix").alias("prefix")).select("line", "n", "prefix"), "classes")
-            every = put(classes.select("line"), "lines")
+            with scratch(docs.sparkSession) as first:
+                classes = first(_classes(_lines(docs, id_col, text_col, hashed), width), "classes")
+                every = put(classes.select("line"), "lines")
+                classes, levels = prefixes(first, classes)
+                classes, levels = early(classes, "prefixes"), early(levels, "levels")
 
             posts = classes.select("line.*", "n", F.posexplode("prefix").alias("i", "token")).select("token", "id", "no", "h", "n", "i")
             shared = early(_shared(posts, levels), "shared")

@@ -110,6 +110,19 @@ def test_lines_match_brute_force(spark):
     assert got == brute_lines(rows)
 
 
+def test_lines_that_keep_half_of_their_tokens(spark, monkeypatch):
+    """Also where every line is a long one and many are read again as a whole."""
+    from sparkloom.llm import line_dedup
+
+    random.seed(5)
+    passage = ["p%d" % k for k in range(45)]
+    rows = line_rows() + [(2000 + k, " ".join(passage + ["o%d" % random.randrange(10**6) for _ in range(k % 14)])) for k in range(60)]
+    df, want = spark.createDataFrame(rows, "doc_id long, text string"), brute_lines(rows)
+    for short in (line_dedup.SHORT, 0):
+        monkeypatch.setattr(line_dedup, "SHORT", short)
+        assert {r["id"]: r["kept"] for r in kept_lines(df).collect()} == want
+
+
 def test_lines_of_null_and_repeated_ids(spark):
     run = " ".join("w%d" % k for k in range(40))
     rows = [
