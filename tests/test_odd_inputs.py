@@ -1,9 +1,12 @@
 """Queries against their SQL on inputs that the given tables do not hold."""
 
+import random
+
 import duckdb
 from test_oracles import rows
 
 import __spark_entry__ as entry
+from sparkloom.operators import hamming
 
 
 def both(spark, at, name, table, df):
@@ -19,3 +22,22 @@ def test_entities_keep_other_ampersands(spark, tmp_path):
     df = spark.createDataFrame(list(enumerate(html)), "page_id long, html string")
     ours, theirs = both(spark, tmp_path, "q_entities", "pages", df)
     assert len(ours) == len(html) and ours == theirs
+
+
+def test_wide_radius_lists_no_key_by_thousands_of_values(spark, monkeypatch):
+    rng, keys = random.Random(3), []
+    for _ in range(40):
+        base = [rng.choice("01") for _ in range(56)]
+        for k in rng.choices(range(16), k=3):
+            keys.append("".join(base))
+            for i in rng.sample(range(56), k):
+                base[i] = "10"[int(base[i])]
+    df = spark.createDataFrame([(k, b) for k, b in enumerate(keys)] + [(None, "1" * 56), (400, "0" * 55)], "id long, bits string").repartition(3)
+    first = {b: k for k, b in reversed(list(enumerate(keys)))}
+    want = [(a, b, d) for x, a in first.items() for y, b in first.items() if a < b and (d := sum(p != q for p, q in zip(x, y, strict=True))) <= 14]
+    monkeypatch.setattr(hamming, "PAIRS", 64, raising=False)
+    monkeypatch.setattr(hamming, "FOUND", 4, raising=False)
+    got = hamming.near_keys(df, "id", "bits", 14)
+    assert sorted((r["a"], r["b"], r["distance"]) for r in got.collect()) == sorted(want)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan  # else 2,788 rows a key
