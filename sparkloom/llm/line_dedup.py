@@ -19,6 +19,8 @@ SHORT = 24
 #: Entries up to which a table of ids with line numbers is broadcast; a larger one is joined by shuffles.
 BROADCAST_LINES = 1_000_000
 NO_ID = -(2**63)
+#: Longs of parities by which pairs of lines are ruled out, a power of two.
+PARITIES = 2
 
 
 def _blanks(text: Column) -> Column:
@@ -123,6 +125,29 @@ def _posted(whole: DataFrame) -> DataFrame:
     return whole.select("*", plain.alias("plain")).select("*", n.alias("n"), prefix.alias("prefix"))
 
 
+def _parities(tokens: Column) -> Column:
+    """PARITIES longs: a bit for each place that a hash may name, set if an odd
+    number of the tokens name it."""
+    none = F.lit(0).cast("long")
+
+    def parity(k: int) -> Column:
+        bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(63).cast("int"))
+        here = lambda x: F.shiftrightunsigned(x, 6).bitwiseAND(PARITIES - 1) == k
+        return F.aggregate(tokens, none, lambda a, x: a.bitwiseXOR(F.when(here(x), bit(x)).otherwise(none)))
+
+    return F.array(*(parity(k) for k in range(PARITIES)))
+
+
+def _near(pairs: DataFrame, told: DataFrame) -> DataFrame:
+    """The pairs (x, y) of lines of ``told`` (line, n, p), their numbers of tokens and
+    parities, that may be similar: where two sets differ by few tokens, their
+    parities differ in no more places. No similar pair is lost, and no tokens
+    are sent along with each pair."""
+    a, b = told.toDF("x", "nx", "px"), told.toDF("y", "ny", "py")
+    apart = sum((F.bit_count(F.col("px")[k].bitwiseXOR(F.col("py")[k])) for k in range(PARITIES)), F.lit(0))
+    return pairs.join(a, "x").join(b, "y").where((NUM + DEN) * apart <= (DEN - NUM) * (F.col("nx") + F.col("ny"))).select("x", "y")
+
+
 def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (x, y) whose token sets reach the similarity."""
     a, b = sets.select(F.col("line").alias("x"), F.col("tokens").alias("tx")), sets.select(F.col("line").alias("y"), F.col("tokens").alias("ty"))
@@ -207,7 +232,10 @@ def kept_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def similar(put, pairs: DataFrame) -> DataFrame:
         """(x) of the pairs (x, y) whose token sets reach the similarity."""
         met = pairs.select(F.explode(F.array("x", "y")).alias("x")).distinct()
-        return put(_similar(pairs, sets(put, met)).select("x").distinct(), "gone")
+        tokens = sets(put, met)
+        told = put(tokens.select("line", F.size("tokens").alias("n"), _parities(c("tokens")).alias("p")), "parities")
+        near = put(_near(pairs, told), "near")
+        return put(_similar(near, tokens).select("x").distinct(), "gone")
 
     def prefixes(put, classes: DataFrame) -> tuple[DataFrame, DataFrame]:
         """(line, n, prefix) of the classes and the levels by bucket."""
